@@ -17,6 +17,11 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"{P.SPACE}+", " "))
 
 
+def strip(text: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(text, rf"^{P.SPACE}+|{P.SPACE}+$", "")
+
+
 def clean(text: Column) -> Column:
     """Lower case; links and addresses to tokens; digits, punctuation and space runs to blanks."""
     out = F.regexp_replace(F.lower(text), P.CLEAN_URL, " urltoken ")
