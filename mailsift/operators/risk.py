@@ -27,8 +27,8 @@ def extract_features(emails: DataFrame, keep: tuple[str, ...] = ("email_id",)) -
     """Narrow features per message; the body itself is not carried on."""
     body = F.coalesce("body", F.lit(""))
     raw = F.col("raw_headers") if "raw_headers" in emails.columns else F.lit(None).cast("string")
-    step = emails.select(*keep, body.alias("body"), raw.alias("raw_headers"))
-    body, raw = F.col("body"), F.col("raw_headers")
+    step = emails.select(*keep, body.alias("_body"), raw.alias("_raw"))
+    body, raw = F.col("_body"), F.col("_raw")
     step = step.select(
         *keep, U.extract(body).alias("urls"), *VIEW.define(content.views(body)), *FIELDS.define(headers.fields(raw)))
     step = step.select(
@@ -178,3 +178,27 @@ def security_matrix(analysed: DataFrame) -> DataFrame:
         "latin_ratio": SCRIPT["latin_ratio"],
     }
     return analysed.select("email_id", *[c.cast("double").alias(n) for n, c in number.items()])
+
+
+def report(at: Column, body: Column) -> Column:
+    """Export document: time, original text, links and the nested analysis."""
+    def group(parts: Parts, *names: str) -> Column:
+        return F.struct(*[parts[n].alias(n) for n in names])
+
+    details = F.struct(
+        group(URL, "url_count", "has_ip_url", "has_shortener", "suspicious_tld_count", "max_subdomains",
+              "max_hyphens_in_domain", "long_domain_detected", "has_cyrillic").alias("urls"),
+        group(SCRIPT, "latin_ratio", "greek_ratio", "cyrillic_ratio", "mixed_script").alias("scripts"),
+        group(HOMOGRAPH, "mixed", "punycode").alias("homograph"),
+        F.struct("brands", H.brand_similarity(F.col("labels")).alias("max_brand_similarity")).alias("brand"),
+        F.struct(F.col("behaviour_score").alias("behavior_score"),
+                 BEHAVIOUR["urgency_triggers"].alias("urgency_triggers"),
+                 BEHAVIOUR["reward_triggers"].alias("reward_triggers")).alias("behavior"),
+        F.struct(domain_max_score().alias("max_risk_score"), F.col("domain_threats").alias("threat_flags"),
+                 F.size("listed").alias("known_malicious_count")).alias("domain_intel"),
+        F.struct("is_spoofed", headers.spoof_threats(HEADER).alias("threats")).alias("headers"),
+        F.struct("is_obfuscated", OBFUSCATION["invisible_count"].alias("invisible_count"),
+                 OBFUSCATION["symbol_ratio"].alias("symbol_ratio")).alias("obfuscation"))
+    analysis = F.struct("risk_score", "risk_level", "threat_reasons", "security_flags", details.alias("details"))
+    return F.struct(at.alias("timestamp"), body.alias("original_email"), F.col("urls").alias("extracted_urls"),
+                    analysis.alias("forensic_analysis"))

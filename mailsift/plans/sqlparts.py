@@ -13,7 +13,7 @@ SPAM_MODELS = ["logistic_regression", "naive_bayes", "random_forest", "svm"]
 EMAILS = f"""emails AS (
   SELECT d.doc_id AS email_id, e.ts AS received_at, e.user_id AS sender_id,
     {BODY_SQL.format(text='d.text')} AS body, {HEADERS_SQL} AS raw_headers, {LABEL_SQL} AS label,
-    d.lang AS lang
+    d.lang AS lang, d.source AS source
   FROM documents d LEFT JOIN events e ON e.event_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 
 _TLD = "|".join(config.LINK_TLDS)
@@ -229,10 +229,55 @@ risk AS (
        CASE WHEN url_count > 3 THEN 'Multiple URLs detected (> 3)' END]), lambda r: r IS NOT NULL))) AS threat_reasons
   FROM signals)"""
 
+_ERROR = f"(0.05 + {bucket('error', 'model', size=10)} / 50.0::DOUBLE)"
+
 # Derived predictions of four models on the labelled emails: a stable share of each model's answers is wrong.
 SCORES = f"""scores AS (
-  SELECT email_id, received_at, label, model, {unit('score', 'model', 'email_id')} AS noise,
-    CASE WHEN noise < {{error}} THEN CASE label WHEN 'spam' THEN 'ham' ELSE 'spam' END ELSE label END AS prediction,
-    round(CASE prediction WHEN 'spam' THEN 0.5 + noise / 2 ELSE 0.5 - noise / 2 END, 6) AS p_spam
-  FROM emails CROSS JOIN (SELECT unnest({SPAM_MODELS}) AS model) WHERE label IS NOT NULL)""".format(
-    error=f"(0.05 + {bucket('error', 'model', size=10)} / 50.0)")
+  SELECT email_id, source, received_at, label, model, {unit('score', 'model', 'email_id')} AS noise,
+    CASE WHEN noise < {_ERROR} THEN CASE label WHEN 'spam' THEN 'ham' ELSE 'spam' END ELSE label END AS prediction,
+    round(CASE prediction WHEN 'spam' THEN 0.5::DOUBLE + noise / 2 ELSE 0.5::DOUBLE - noise / 2 END, 7) AS p_spam
+  FROM emails CROSS JOIN (SELECT unnest({SPAM_MODELS}) AS model) WHERE label IS NOT NULL)"""
+
+FEEDBACK = f"""feedback AS (
+  SELECT email_id AS id, received_at AS timestamp, body AS email_text, model AS model_used,
+    CASE WHEN {unit('score', 'model', 'email_id')} < {_ERROR} THEN CASE label WHEN 'spam' THEN 'ham' ELSE 'spam' END
+      ELSE label END AS predicted_label,
+    CASE WHEN {unit('corrected', 'email_id')} >= 0.2 THEN label END AS correct_label
+  FROM (SELECT *, CASE WHEN {unit('ab', 'email_id')} < 0.5 THEN 'naive_bayes' ELSE 'svm' END AS model
+        FROM emails WHERE label IS NOT NULL))"""
+
+
+def round4(part: str, whole: str) -> str:
+    return f"round_even(coalesce(({part})::DOUBLE / nullif({whole}, 0), 0.0::DOUBLE), 4)"
+
+
+def metrics(by: str, source: str = "scores") -> str:
+    """``by``, the four counts and the four metrics."""
+    group = f"GROUP BY {by}" if by else ""
+    return f"""SELECT {by + ',' if by else ''} tp, fp, fn, tn,
+  {round4('tp + tn', 'tp + tn + fp + fn')} AS accuracy, {round4('tp', 'tp + fp')} AS precision,
+  {round4('tp', 'tp + fn')} AS recall, {round4('2 * tp', '2 * tp + fp + fn')} AS f1_score
+FROM (SELECT {by + ',' if by else ''} count(*) FILTER (WHERE prediction = 'spam' AND label = 'spam') AS tp,
+  count(*) FILTER (WHERE prediction = 'spam' AND label <> 'spam') AS fp,
+  count(*) FILTER (WHERE prediction <> 'spam' AND label = 'spam') AS fn,
+  count(*) FILTER (WHERE prediction <> 'spam' AND label <> 'spam') AS tn FROM {source} {group})"""
+
+
+REPORTS = f"""reports AS (
+  SELECT CASE WHEN page_id % 50 = 0 THEN 'Earn-Money.xyz' WHEN page_id % 2 = 0 THEN upper({host('x')}) ELSE {host('x')} END AS domain,
+    'reported on page ' || page_id AS reason, e.ts AS added_at
+  FROM (SELECT page_id, {full_url('url')} AS x FROM pages) p LEFT JOIN events e ON e.event_id = p.page_id)"""
+SEEDS = "seeds AS (SELECT * FROM (VALUES " + ", ".join(
+    f"('{d}', '{r}', TIMESTAMP '1970-01-01 00:00:00')" for d, r in config.BLOCKLIST_SEEDS) + ") t(domain, reason, added_at))"
+
+EVIDENCE = f"""evidence AS (
+  SELECT email_id, CASE WHEN {unit('ml', 'email_id')} < 0.3 THEN 'spam' ELSE 'ham' END AS ml_prediction,
+    0.5::DOUBLE + {unit('mlc', 'email_id')} / 2 AS ml_confidence,
+    CASE WHEN {unit('dl', 'email_id')} < 0.2 THEN 'spam' WHEN {unit('dl', 'email_id')} < 0.6 THEN 'ham' END AS dl_prediction,
+    {unit('dlc', 'email_id')} AS dl_confidence,
+    """ + " + ".join(f"CASE WHEN {unit(f'near{i}', 'email_id')} < 0.5 AND {unit(f'kind{i}', 'email_id')} < 0.5 THEN 1 ELSE 0 END"
+                     for i in range(3)) + """ AS spam_matches FROM emails)"""
+DECIDE = """CASE WHEN risk_score > 80 OR spam_matches >= 2 THEN 'spam'
+  WHEN dl_prediction = 'spam' AND dl_confidence > 0.7 THEN 'spam'
+  WHEN dl_prediction IS NOT NULL AND dl_prediction <> ml_prediction AND dl_confidence > ml_confidence THEN dl_prediction
+  ELSE ml_prediction END"""
