@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mailsift import config, schemas
+from mailsift.functions.rows import explode_rows
 
 INLINE_ROWS = 1000  # up to this many entries the list travels inside the plan
 
@@ -59,7 +60,7 @@ def listed_joined(df: DataFrame, blocklist: DataFrame, key: str = "email_id", ho
 
     ``df`` must be narrow: it is shuffled once by key. Only hosts that are listed reach the aggregation.
     """
-    exploded = df.select(key, F.explode(F.array_distinct(hosts)).alias("host"))
+    exploded = explode_rows(df, F.array_distinct(hosts), "host", key)
     listed = blocklist.select(F.col("domain").alias("_domain"), "reason")
     hits = (exploded.join(listed, F.lower("host") == F.col("_domain"))
             .groupBy(key).agg(F.collect_list(F.struct(F.col("host").alias("domain"), "reason")).alias("listed")))

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mailsift import config
 from mailsift.functions import text as T
+from mailsift.functions.rows import explode_rows
 
 
 def words(texts: DataFrame, column: str = "text") -> DataFrame:
     """Word frequencies; combined before the shuffle, so frequent words are no hot keys."""
-    tokens = texts.select(F.explode(T.tokenize(F.col(column))).alias("word"))
+    tokens = explode_rows(texts, T.tokenize(F.col(column)), "word")
     return tokens.groupBy("word").agg(F.count("*").alias("n"))
 
 

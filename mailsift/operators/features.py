@@ -11,6 +11,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mailsift.functions import patterns as P, text as T
+from mailsift.functions.rows import explode_rows, inline_rows
 
 
 @dataclass(frozen=True)
@@ -74,7 +75,7 @@ def fit(docs: DataFrame, v: Vectorizer) -> DataFrame:
     """Vocabulary from ``terms``; one pass and one shuffle with partial sums give both frequencies."""
     per_doc = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("t"), F.lit(1).alias("d"), F.lit(0).alias("c")))
     per_use = F.transform("terms", lambda t: F.struct(t.alias("t"), F.lit(0).alias("d"), F.lit(1).alias("c")))
-    counted = (docs.select(F.explode(F.concat(per_doc, per_use)).alias("x"))
+    counted = (explode_rows(docs, F.concat(per_doc, per_use), "x")
                .groupBy(F.col("x.t").alias("term")).agg(F.sum("x.d").alias("df"), F.sum("x.c").alias("cf")))
     n = docs.agg(F.count("*")).scalar()
     kept = (counted.filter((F.col("df") >= v.min_df) & (F.col("df") <= n * v.max_df))
@@ -93,7 +94,7 @@ def vectors(docs: DataFrame, vocab: DataFrame, v: Vectorizer, key: str = "doc_id
     small = F.broadcast(vocab.select("term", "term_id", "idf"))
     # A leading null keeps every document; other occurrences of unknown terms go before the shuffle.
     terms = F.concat(F.array(F.lit(None).cast("string")), "terms")
-    uses = docs.select(key, F.explode(terms).alias("term")).join(small, "term", "left")
+    uses = docs.select(key, F.explode_outer(terms).alias("term")).join(small, "term", "left")
     uses = uses.filter(F.col("term").isNull() | F.col("term_id").isNotNull()).select(key, "term_id", "idf")
     counts = uses.repartition(key).groupBy(key, "term_id", "idf").agg(F.count("*").alias("tf"))
     tf = F.log("tf") + 1.0 if v.sublinear else F.col("tf").cast("double")
@@ -111,7 +112,7 @@ def vectors(docs: DataFrame, vocab: DataFrame, v: Vectorizer, key: str = "doc_id
 
 def long_form(vecs: DataFrame, key: str = "doc_id") -> DataFrame:
     """``key, term_id, weight`` rows."""
-    return vecs.select(key, F.inline("entries"))
+    return inline_rows(vecs, "entries", "term_id", key)
 
 
 def fit_transform(docs: DataFrame, method: str = "tfidf", key: str = "doc_id", text: str = "text",

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from mailsift.functions.rows import explode_rows, posexplode_rows
 from mailsift.functions import text as T
 
 # --- fixed values: suffix rules of the published Porter algorithm, longest first ----
@@ -131,7 +132,7 @@ def _stem_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def vocabulary(texts: DataFrame, column: str = "text") -> DataFrame:
     """Distinct terms with their stems."""
-    terms = texts.select(F.explode(T.tokenize(F.col(column))).alias("term")).distinct()
+    terms = explode_rows(texts, T.tokenize(F.col(column)), "term").distinct()
     return terms.mapInPandas(_stem_batches, "term STRING, stem STRING")
 
 
@@ -141,7 +142,7 @@ def stem_texts(texts: DataFrame, key: str, column: str = "text") -> DataFrame:
     Frequent terms are no hot keys: occurrences are grouped per text and term before the join, and the size of
     the vocabulary decides how Spark joins it.
     """
-    tokens = texts.select(key, F.posexplode(T.tokenize(F.col(column))).alias("pos", "term"))
+    tokens = posexplode_rows(texts, T.tokenize(F.col(column)), "term", key)
     grouped = tokens.groupBy(key, "term").agg(F.collect_list("pos").alias("positions"))
     stems = grouped.join(vocabulary(texts, column), "term")
     placed = stems.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mailsift import config
 from mailsift.functions import headers as HD, hosts as H, urls as U
+from mailsift.functions.rows import explode_rows, posexplode_rows
 from mailsift.operators import blocklist as B, risk as R
 from mailsift.operators.domains import cluster_analysis
 from mailsift.plans import sqlparts as S
@@ -23,7 +24,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def url_table(mails: DataFrame) -> DataFrame:
     """One row per link: ``email_id, pos, url, domain, host``."""
-    found = mails.select("email_id", F.posexplode(U.extract(F.col("body"))).alias("pos", "url"))
+    found = posexplode_rows(mails, U.extract(F.col("body")), "url", "email_id")
     full = found.withColumn("full", U.with_scheme(U.decode(F.col("url"))))
     return full.select("email_id", "pos", "url", U.domain(F.col("url")).alias("domain"),
                        U.host(F.col("full")).alias("host"))
@@ -37,15 +38,14 @@ full_urls AS (SELECT *, {S.full_url('url')} AS x FROM urls)"""
 
 @query("url_extract", f"WITH {_URLS} SELECT email_id, pos, url FROM urls")
 def url_extract(spark, sf_dir):
-    return emails(spark, sf_dir).select("email_id", F.posexplode(U.extract(F.col("body"))).alias("pos", "url"))
+    return posexplode_rows(emails(spark, sf_dir), U.extract(F.col("body")), "url", "email_id")
 
 
 @query("url_domains", f"""WITH {_URLS} SELECT {S.domain('url')} AS domain, count(*) AS n_links,
   count(DISTINCT email_id) AS n_emails FROM urls GROUP BY 1""")
 def url_domains(spark, sf_dir):
     """Links and emails per domain. Counting per email first keeps a popular domain from becoming a hot spot."""
-    found = emails(spark, sf_dir).select(
-        F.explode(U.extract(F.col("body"))).alias("url"), "email_id")
+    found = explode_rows(emails(spark, sf_dir), U.extract(F.col("body")), "url", "email_id")
     per_mail = found.groupBy(U.domain(F.col("url")).alias("domain"), "email_id").agg(F.count("*").alias("n"))
     return per_mail.groupBy("domain").agg(F.sum("n").alias("n_links"), F.count("*").alias("n_emails"))
 
@@ -59,7 +59,7 @@ SELECT email_id, pos, x AS original, {S.host('x')} AS normalized_host,
     rtrim(regexp_replace(regexp_extract(x, '^https?://[^/?#]*([^?#]*)', 1), ';[^/]*$', ''), '/') END AS full_normalized
 FROM full_urls""")
 def url_normalize(spark, sf_dir):
-    found = emails(spark, sf_dir).select("email_id", F.posexplode(U.extract(F.col("body"))).alias("pos", "url"))
+    found = posexplode_rows(emails(spark, sf_dir), U.extract(F.col("body")), "url", "email_id")
     full = found.select("email_id", "pos", U.with_scheme(U.decode(F.col("url"))).alias("full"))
     return full.select("email_id", "pos", U.normalize_full(F.col("full")).alias("n")).select("email_id", "pos", "n.*")
 

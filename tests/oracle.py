@@ -31,7 +31,9 @@ def rows_of(columns, rows):
 def compare(spark, con, fn, sql, sf_dir):
     """None when equal, else a description of the difference."""
     df = fn(spark, sf_dir)
+    start = time.time()
     got_cols, got = rows_of(df.columns, df.collect())
+    print(f"   collected in {time.time() - start:.1f}s", end=" ")
     cur = con.execute(sql)
     want_cols, want = rows_of([d[0] for d in cur.description], cur.fetchall())
     if got_cols != want_cols:
