@@ -28,4 +28,4 @@ def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
 
 
 def load_all() -> None:
-    from mailsift.plans import evaluation, features, forensics, neighbours, tables, textjobs  # noqa: F401
+    from mailsift.plans import evaluation, features, forensics, models, neighbours, tables, textjobs  # noqa: F401
