@@ -23,9 +23,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = get_session("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus if cpus.isdigit() else "8", "spark.driver.memory": "12g",
-        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-        # The test tables are single files: small splits let their row groups be read in parallel.
-        "spark.sql.files.maxPartitionBytes": "2m", "spark.sql.files.openCostInBytes": "64k"})
+        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     catalog.load_all()
     spark.range(1000).selectExpr("sum(id)").collect()

@@ -2,7 +2,7 @@
 
 The optimizer turns ``explode(x)`` into a filter on ``size(x)`` followed by the explosion, and pushes filters on
 computed columns below the projection that computes them; either way a costly expression runs once more per
-filter. The outer forms of the generators are exempt, and no filter moves below a generator.
+filter. The outer forms of the generators are exempt from the former.
 """
 
 from __future__ import annotations
@@ -25,6 +25,10 @@ def inline_rows(df: DataFrame, entries: Column | str, key: str, *keep: Column |
     return df.select(*keep, F.inline_outer(entries)).filter(F.col(key).isNotNull())
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """The same rows, computed before any later filter looks at them."""
-    return df.select(F.inline_outer(F.array(F.struct(*df.columns))))
+def filter_computed(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on costly computed columns after they were computed, instead of once more below their projection.
+
+    A filter does not move below a projection with a row number of its own. Batch only.
+    """
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    return numbered.filter(condition & (F.col("_row") >= 0)).drop("_row")
