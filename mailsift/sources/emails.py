@@ -33,6 +33,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SMALL_INPUT = 1 << 30  # bytes
+SMALL_PART = 256 << 10
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a small table, often one file with one row group, over the cores; larger tables stay as they are read."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = min(df.sparkSession.sparkContext.defaultParallelism, size // SMALL_PART)
+    return df.repartition(parts) if size < SMALL_INPUT and parts > 1 else df
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -40,7 +51,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def emails(spark: SparkSession, sf_dir: str, received: bool = False, labelled: bool = False,
            text: str = "d.text") -> DataFrame:
     """Documents as emails. The joins for receipt time and label are made only when asked for."""
-    out = table(spark, sf_dir, "documents").alias("d")
+    out = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).alias("d")
     cols = [F.expr("d.doc_id").alias("email_id"), F.expr(BODY_SQL.format(text=text)).alias("body"),
             F.expr(HEADERS_SQL).alias("raw_headers")]
     if received:
