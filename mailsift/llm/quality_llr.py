@@ -10,11 +10,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailsift.llm.common import materialise, narrow
+from mailsift.functions.rows import explode_rows, filter_computed
+from mailsift.llm.common import narrow
 
 SPACE = r"[\x20\x09-\x0D]+"
 BUCKETS = 1 << 15
-THRESHOLD = -0.06  # mean log ratio per n-gram at which a document is still kept
+THRESHOLD = -0.05  # mean log ratio per n-gram at which a document is still kept
+PRIOR = 50  # pseudo-count: buckets seen less often than this say little
 TARGET_ROWS = 200_000  # labelled documents that form the target, at most
 
 
@@ -74,10 +76,14 @@ def target_ids(labels: DataFrame, most: int = TARGET_ROWS) -> DataFrame:
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, most: int = TARGET_ROWS) -> list[float]:
-    """ln p(bucket | target) - ln p(bucket | corpus) by bucket, from all documents; zeros without a target."""
+    """ln p(bucket | target) - ln p(bucket | corpus) by bucket, from all documents; zeros without a target.
+
+    The target's shares are shrunk to the corpus's by ``PRIOR`` pseudo-counts, so that a small corpus doesn't speak
+    against documents only because they are not in the target.
+    """
     target = F.broadcast(target_ids(labels, most).withColumn("trusted", F.lit(1)))  # at most about ``most`` ids
     df = with_words(docs, "doc_id").join(target, "doc_id", "left")
-    counts = (df.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode(grams(F.col("words"))).alias("bucket"))
+    counts = (explode_rows(df, grams(F.col("words")), "bucket", F.coalesce("trusted", F.lit(0)).alias("trusted"))
               .groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("target")))
     raw, target_n = [0] * BUCKETS, [0] * BUCKETS
     for row in counts.collect():  # one row per bucket
@@ -85,8 +91,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame, most: int = TARGET_ROWS) -> l
     all_raw, all_target = sum(raw), sum(target_n)
     if not all_target:
         return [0.0] * BUCKETS
-    return [math.log((t + 1) / (all_target + BUCKETS)) - math.log((r + 1) / (all_raw + BUCKETS))
-            for r, t in zip(raw, target_n)]
+    share = all_target / all_raw
+    return [math.log((t + PRIOR) / (r * share + PRIOR)) for r, t in zip(raw, target_n)]
 
 
 def judge(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD, *keep: str) -> DataFrame:
@@ -114,4 +120,5 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass, with their columns; a projection and a filter over the documents."""
     ratios = log_ratios(docs, labels)
     rows = docs.select(docs["doc_id"], docs["text"], F.struct("*").alias("doc"))
-    return judge(rows, ratios, THRESHOLD, "doc").filter("kept").select("doc.*")
+    judged = judge(rows, ratios, THRESHOLD, "doc").select("doc", "kept")
+    return filter_computed(judged, F.col("kept")).select("doc.*")
