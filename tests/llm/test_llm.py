@@ -1,0 +1,359 @@
+"""Operators against brute force, on small tables with nulls, empties, ties, repeats and clashing names."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from mailsift.llm import (bpe_tree, exact_dedup, hmm_lm, langid_ecoc, lsh_forest, packing, pii_weak, quality_llr,
+                          suffix_dedup, warc_fixity)
+
+SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, digest string, node long, words string, "
+          "anchor string, kept string, sequence_id string, `_row` string")
+WORDS = "river stone amber candle window garden yellow silent morning harbour copper lantern meadow whisper".split()
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(n))
+
+
+def rows():
+    rng = random.Random(5)
+    base = [prose(rng, 120) for _ in range(12)]
+    texts = [*base, base[0], base[0].upper(), base[1] + " tail", " ".join(base[2].split()[:-2] + ["new", "end"]),
+             base[3][:400] + prose(rng, 30) + base[4][100:500], None, "", "   \n\t ", "short one", "é" * 180, "ab" * 900,
+             "Der " * 300, base[5] * 40, "line a\nline a\n\nline b " + base[6], "mail me.x@mail1.example.com or +1 (312) 555-3490",
+             "card 4111 1111 1111 1111 ip 10.0.0.256 and 10.0.0.25.7.8", 'token = "b9e9e9fd9c9cf9b9d9a9"', "\0\0 nul " * 30]
+    out = [(i, t) for i, t in enumerate(texts)] + [(3, base[3]), (None, base[7]), (None, None), (7, "other text for seven")]
+    langs = ["en", "de", None]
+    return [(i, t, langs[k % 3], "s", 1, "x", 7, "w", "a", "k", "q", "r") for k, (i, t) in enumerate(out)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows(), SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(i, 1, 0) for i in range(12)] + [(22, 0, 0), (None, 1, None), (999, 1, 0)],
+                                 "doc_id long, quality int, toxic int")
+
+
+def counted(items):
+    return collections.Counter(items)
+
+
+def test_exact(docs, none):
+    text = collections.defaultdict(list)
+    for r in rows():
+        folded = re.sub("[A-Z]", lambda m: m.group().lower(), r[1] or "")
+        text[folded].append(r[0])
+    want = []
+    for folded, ids in text.items():
+        keep = max((i for i in ids if i is not None), default=None)
+        want += [(i, keep, len(ids), i == keep, hashlib.sha256(folded.encode()).hexdigest()) for i in ids]
+    assert counted(map(tuple, exact_dedup.exact_groups(docs).collect())) == counted(want)
+    assert counted(map(tuple, exact_dedup.exact_groups(docs, 2).collect())) == counted(want)
+    kept = exact_dedup.drop_exact(docs)
+    assert kept.columns == docs.columns and kept.count() == len(text)
+    assert exact_dedup.exact_groups(none).count() == 0
+
+
+def test_quality(docs, none, labels):
+    ws, got = r"[^\x20\x09-\x0D]+", quality_llr.quality_rules(docs, labels).collect()
+    want = []
+    for r in rows():
+        words = re.findall(ws, r[1] or "")
+        seen = counted(zip(words, words[1:], words[2:]))
+        hit = {i + k for i, w in enumerate(zip(words, words[1:], words[2:])) if seen[w] > 1 for k in range(3)}
+        lines = [x for x in (r[1] or "").split("\n") if re.search(ws, x)]
+        n, m = len(words), len(hit)
+        want.append((r[0], n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", r[1] or "")), len(lines) - len(set(lines)),
+                     m, n < 50 or 100 * m > 50 * n))
+    assert counted(tuple(r)[:7] for r in got) == counted(want)
+    assert not any(r["kept"] and r["base_failed"] for r in got)
+    kept = quality_llr.drop_low_quality(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in got)
+    assert quality_llr.quality_rules(none, labels.limit(0)).count() == 0
+    free = quality_llr.quality_rules(docs, labels.limit(0)).collect()
+    assert {r["score"] for r in free} == {0.0} and all(r["kept"] != r["base_failed"] for r in free)
+
+
+def test_llr_is_the_log_ratio(docs, labels):
+    got = quality_llr.log_ratios(docs, labels)
+    buckets = docs.select("doc_id", F.explode(quality_llr.grams(F.array_remove(F.split("text", quality_llr.SPACE), "")))).collect()
+    raw, target = counted(b for _, b in buckets), counted(b for i, b in buckets if i is not None and i < 12)
+    share = sum(target.values()) / sum(raw.values())
+    for b in list(raw)[:50]:
+        assert got[b] == pytest.approx(math.log((target[b] + 50) / (raw[b] * share + 50)))
+
+
+def brute_removed(texts):
+    """texts: bytes in order; the removal mask of each."""
+    seen, out = set(), []
+    for t in texts:
+        gone = bytearray(len(t))
+        for i in range(len(t) - 99):
+            s = t[i:i + 100]
+            if s in seen:
+                gone[i:i + 100] = b"\1" * 100
+            seen.add(s)
+        out.append(gone)
+    return out
+
+
+@pytest.mark.parametrize("shard", [2_000_000, 3000])
+def test_suffix(docs, none, monkeypatch, shard):
+    monkeypatch.setattr(suffix_dedup, "SHARD", shard)
+    plain = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    order = sorted((r["doc_id"], (r["text"] or "").encode()) for r in plain.collect())
+    want = {}
+    for (i, t), gone in zip(order, brute_removed([t for _, t in order])):
+        spans = len(re.findall(b"\1+", bytes(gone)))
+        want[i] = (len(t), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(t, gone) if not g)).hexdigest())
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.suffix_dedup(plain).collect()}
+    assert got == want
+    assert suffix_dedup.suffix_dedup(docs).count() == docs.count()
+    assert suffix_dedup.suffix_dedup(none).count() == 0
+
+
+def test_suffix_array_and_prefixes():
+    rng = random.Random(2)
+    for text in (b"banana" * 30, bytes(rng.choices(b"ab", k=3000)), b"a" * 500, b"x", bytes(rng.choices(b"abcdefgh", k=5000))):
+        data = np.frombuffer(text, np.uint8)
+        sa, rank = suffix_dedup.suffix_array(data)
+        want = sorted(range(len(text)), key=lambda i: text[i:])
+        assert sa.tolist() == want and rank[sa].tolist() == list(range(len(text)))
+        shared = suffix_dedup.common_prefixes(data, sa, rank).tolist()
+        for k in range(1, len(want), 7):
+            a, b = text[want[k]:], text[want[k - 1]:]
+            n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+            assert shared[k] == n
+
+
+def brute_classes(table):
+    def sh(t):
+        w = (t or "").encode().split()
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    sets = [sh(t) for _, t in table]
+    parent = list(range(len(table)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+    for i in range(len(table)):
+        for j in range(i):
+            same = (table[i][1] or "") == (table[j][1] or "")
+            if same or sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                parent[find(i)] = find(j)
+    groups = collections.defaultdict(list)
+    for i in range(len(table)):
+        groups[find(i)].append(table[i][0])
+    return [(i, min((x for x in g if x is not None), default=None), len(g)) for g in groups.values() for i in g]
+
+
+def test_forest(spark, docs, none):
+    rng = random.Random(8)
+    table = [(r[0], r[1]) for r in rows()]
+    for k in range(25):  # chains and clouds of near copies
+        words = table[k % 5][1].split()
+        for _ in range(rng.randrange(1, 4)):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(9999)}"
+        table.append((100 + k, " ".join(words)))
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
+    got = lsh_forest.near_duplicates(df).collect()
+    assert counted(tuple(r)[:3] for r in got) == counted(brute_classes(table))
+    assert all(r["n_links"] == 0 or r["class_size"] > 1 for r in got)
+    kept = lsh_forest.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert lsh_forest.near_duplicates(none).count() == 0
+    assert lsh_forest.depths()[-1] < lsh_forest.DEPTH
+
+
+def test_packing(docs, none):
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    got = packing.pack(docs, path).collect()
+    want = []
+    for r in rows():
+        ids = tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [0]
+        ids = [ids[max(0, e - 2048):e] for e in range(len(ids), 0, -2048)][::-1]
+        at = 0
+        for k, part in enumerate(ids):
+            want.append((r[0], k, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes())))
+            at += len(part)
+    assert counted(tuple(r)[:5] for r in got) == counted(want)
+    bins = collections.defaultdict(list)
+    for r in got:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in bins.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end <= 2048
+    assert len(bins) <= -(-sum(w[3] for w in want) // 2048) + 1
+    assert packing.pack(none, path).count() == 0
+
+
+def test_special_strings_and_odd_letters():
+    own = packing.tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ("a <|endoftext|> b", "日本 ß\x1c\x85 \n\n x  y", "Çá  é\t'sÀ²"):
+        assert own.encode(text) == own.exact(text)
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_plan_keeps_every_capacity(rule):
+    rng = random.Random(3)
+    counts = {rng.randrange(1, 200): rng.randrange(1, 50) for _ in range(80)}
+    caps = packing.Capacities(tokens=200, documents=5, attention=9000, rule=rule) if rule == "norm" else packing.Capacities(
+        tokens=200, documents=5, attention=40000, rule=rule)
+    counts = {s: n for s, n in counts.items() if s * s <= caps.attention}
+    plan = packing.make_plan(counts, caps)
+    bins = collections.defaultdict(list)
+    for k, (length, number, first) in enumerate(zip(plan.length, plan.number, plan.bin)):
+        later = [m for s, m in zip(plan.length, plan.number) if s == length and m > number]
+        for i in range(min(later, default=counts[length]) - number):
+            bins[first + i].append((plan.offset[k], length))
+    assert sum(len(b) for b in bins.values()) == sum(counts.values())
+    for b in bins.values():
+        b.sort()
+        assert [o for o, _ in b] == [sum(s for _, s in b[:k]) for k in range(len(b))]
+        assert sum(s for _, s in b) <= 200 and len(b) <= 5 and sum(s * s for _, s in b) <= caps.attention
+
+
+def test_bpe(docs, none):
+    import tiktoken
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    own = bpe_tree.encoder(path, public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.bpe.ranks, special_tokens={})
+    want = []
+    for r in rows():
+        ids = library.encode_ordinary(r[1] or "")
+        want.append((r[0], len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
+                     hashlib.sha256((r[1] or "").encode()).hexdigest()))
+    assert counted(map(tuple, bpe_tree.encode_documents(docs, path, public_tokenizers.PATTERN).collect())) == counted(want)
+    assert bpe_tree.encode_documents(none, path, public_tokenizers.PATTERN).count() == 0
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choice("ab  \n\t'séßñ日😀\x1c\x85２,.t") for _ in range(rng.randrange(60)))
+        assert own.encode(text) == library.encode_ordinary(text)
+
+
+def test_language(spark, none):
+    rng = random.Random(6)
+    vocab = {"en": "the and of tion with", "de": "der und ein schaft mit", "fr": "les et du ment avec", "es": "los y del ción con"}
+    data = [(i, " ".join(rng.choices(vocab[lang].split(), k=30)), lang if i % 9 else None, lang)
+            for i in range(240) for lang in [sorted(vocab)[i % 4]]] + [(900, None, "en", "und"), (901, "12 34 !", "de", "und"), (None, "the and of", None, "en")]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, truth string")
+    got = langid_ecoc.identify(df, F.col("doc_id") % 4 != 2, df["doc_id"], df["truth"]).collect()
+    assert len(got) == len(data) and all(0 <= r["score"] <= 1 for r in got)
+    assert [tuple(r) for r in got if r["lang_pred"] != r["truth"]] == []
+    assert langid_ecoc.identify(none, F.lit(True), none["doc_id"]).count() == 0
+    untaught = langid_ecoc.identify(df, F.lit(False), df["doc_id"]).collect()
+    assert {r["lang_pred"] for r in untaught} == {"und"}
+    for k in (2, 4, 9):
+        code = langid_ecoc.code_matrix(k)
+        assert len({tuple(c) for c in code}) == k and (abs(code.sum(axis=0)) < k).all()
+
+
+def test_hidden_markov(docs, none):
+    training = F.col("doc_id") % 7 != 2
+    got = hmm_lm.score_texts(docs, training, frequent=60, symbols=20).collect()
+
+    def words(t):
+        return [w for w in (t or "").encode().lower().split()] + [None]
+    table = counted(w for r in rows() if r[0] is not None and r[0] % 7 != 2 for w in words(r[1]))
+    n, v = sum(table.values()), len(table)
+    want = counted((r[0], len(words(r[1])), sum(table[w] > 0 for w in words(r[1])), n, round(sum(
+        math.log10((table[w] + 1) / (n + v + 1)) for w in words(r[1])), 6)) for r in rows())
+    assert counted((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
+    assert all(r["score"] < 0 for r in got)
+    assert hmm_lm.score_texts(none, training).count() == 0
+    assert hmm_lm.score_texts(docs, F.lit(False)).count() == docs.count()
+
+
+def test_forward_sums_over_all_paths():
+    rng = np.random.default_rng(1)
+    move = rng.dirichlet(np.ones(3), 3)
+    emit = rng.dirichlet(np.ones(hmm_lm.END + 1), 3).T
+    model = hmm_lm.Model(np.array([0.2, 0.5, 0.3]), move, emit)
+    codes = [np.array([3, 1, 4, 1, hmm_lm.END]), np.array([5, 9, hmm_lm.END]), np.array([hmm_lm.END])]
+    likely = model.forward(codes)[3]
+    for code, got in zip(codes, likely):
+        p = model.start * emit[code[0]]
+        for c in code[1:]:
+            p = p @ move * emit[c]
+        assert got == pytest.approx(math.log(p.sum()))
+    start, moves, emitted = model.expected(codes)
+    assert start.sum() == pytest.approx(3) and moves.sum() == pytest.approx(6) and emitted.sum() == pytest.approx(9)
+
+
+def test_pii(docs, none):
+    kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+             "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def base(text):
+        out = []
+        for kind, pattern in kinds.items():
+            for m in re.finditer(pattern, text):
+                digits = re.sub("[^0-9]", "", m.group())
+                good = {"email": True, "ip": all(int(p) <= 255 for p in m.group().split(".")) if kind == "ip" else True,
+                        "card": 16 <= len(digits) <= 19 and pii_weak.luhn(digits), "phone": 8 <= len(digits) <= 15}[kind]
+                if good:
+                    out.append(f"{kind}:{m.start()}:{m.end()}")
+        return out
+    rng = random.Random(7)
+    for _ in range(3000):
+        text = "".join(rng.choice(["1", "22", "256", ".", "@", "a", "-", " ", "+1", "4111111111111111", "b.c", "é", "(", "%"])
+                       for _ in range(rng.randrange(25)))
+        assert pii_weak.written(pii_weak.base_spans(text)) == ",".join(base(text)), text
+    got = pii_weak.find_pii(docs).collect()
+    assert counted((r["doc_id"], r["base_sha256"]) for r in got) == counted(
+        (r[0], hashlib.sha256(",".join(base(r[1] or "")).encode()).hexdigest()) for r in rows())
+    assert pii_weak.find_pii(none).count() == 0
+    clean = {r["doc_id"]: r["text"] for r in pii_weak.redact(docs).collect()}
+    assert "[EMAIL]" in clean[26] and "[PHONE]" in clean[26] and "[CARD]" in clean[27]
+    assert pii_weak.redact(docs).columns == docs.columns
+
+
+def test_fixity(spark):
+    pages = spark.createDataFrame([(i, f"u{i}", f"page {i} " * 400) for i in range(300)] + [(None, "u", "h"), (5, None, None)],
+                                  "page_id long, url string, html string")
+    assert warc_fixity.audit(pages, pages).count() == 0
+    bad = pages.filter("page_id <> 17 OR page_id IS NULL").withColumn(
+        "html", F.when(F.col("page_id") == 40, "changed").otherwise(F.col("html")))
+    bad = bad.unionByName(spark.createDataFrame([(9000, "new", "x")], pages.schema))
+    got = {(r["page_id"], r["status"]) for r in warc_fixity.audit(pages, bad).collect()}
+    assert got == {(17, "missing"), (40, "corrupt"), (9000, "extra")}
+    assert warc_fixity.audit(pages.limit(0), pages.limit(0)).count() == 0
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    ids = {r["doc_id"] for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        kept = [r["doc_id"] for r in out.collect()]
+        assert len(kept) == len(set(kept)) and set(kept) <= ids
+        ids, docs = set(kept), out
+    got = corpus_pipeline.run(spark, sf)
+    assert {r["doc_id"] for r in got.collect()} == ids
