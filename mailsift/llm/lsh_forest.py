@@ -132,13 +132,20 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def candidates(signed: DataFrame) -> DataFrame:
-    """Nodes of the forest that hold different texts: one row per text and tree with the hubs at both depths."""
+    """Nodes of the forest that hold different texts: one row per text and tree with the hubs at both depths.
+
+    The hub is the text that meets most others in all trees: the original of a group of copies, if it is there.
+    """
     rows = signed.select("node", F.explode(F.arrays_zip("deep", "short")).alias("at")).select(
         "node", F.col("at.short").alias("short"), F.col("at.deep").alias("deep"))
-    shared = rows.groupBy("short").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last")
-    met = materialise(rows.join(shared.select("short", "hub"), "short").distinct(), "forest")
-    hubs = met.groupBy("deep").agg(F.min("node").alias("deep_hub"))
-    return materialise(met.join(hubs, "deep").select("short", "node", "hub", "deep_hub"), "forest")
+    shared = rows.groupBy("short").agg(F.min("node").alias("least"), F.max("node").alias("last")).filter("least <> last")
+    met = materialise(rows.join(shared.select("short"), "short").distinct(), "forest")
+    sizes = met.groupBy("short").agg(F.count("*").alias("size"))
+    central = met.join(sizes, "short").groupBy("node").agg(F.sum("size").alias("meets"))
+    met = materialise(met.join(central, "node"), "forest")
+    best = F.max(F.struct("meets", "node"))["node"]
+    hubs, deep_hubs = met.groupBy("short").agg(best.alias("hub")), met.groupBy("deep").agg(best.alias("deep_hub"))
+    return materialise(met.join(hubs, "short").join(deep_hubs, "deep").select("short", "node", "meets", "hub", "deep_hub"), "forest")
 
 
 def classed(df: DataFrame, classes: DataFrame | None, column: str, name: str) -> DataFrame:
@@ -165,7 +172,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, trees: int =
     texts = materialise(with_node(docs).select("id_key", "node", "text").join(picked, ["id_key", "node"])
                         .dropDuplicates(["id_key", "node"]).select("node", "text"), "forest-texts")
     classes, links = None, None
-    for step in ("deep", "short", "rest"):
+    for step in ("deep", "short", "second", "rest"):
         if step == "deep":
             pairs = forest.select(F.col("deep_hub").alias("a"), F.col("node").alias("b"))
         elif step == "short":
@@ -173,10 +180,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, trees: int =
         else:
             known = classed(forest, classes, "node", "cls")
             mixed = known.groupBy("short").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).filter("x <> y").select("short")
-            open_ = materialise(known.join(mixed, "short").filter("node <> hub").select("short", "node", "cls"), "open")
-            pairs = open_.select("short", F.col("node").alias("a"), F.col("cls").alias("ca")).join(
-                open_.select("short", F.col("node").alias("b"), F.col("cls").alias("cb")), "short").filter(
-                "a < b AND ca <> cb").select("a", "b")
+            open_ = known.join(mixed, "short").filter("node <> hub")
+            if step == "second":  # the most central text outside the hub's class, against all of other classes
+                outside = classed(open_, classes, "hub", "hub_cls").filter("cls <> hub_cls")
+                hubs = outside.groupBy("short").agg(F.max(F.struct("meets", "node", "cls")).alias("top"))
+                pairs = open_.join(hubs, "short").filter("cls <> top.cls").select(F.col("top.node").alias("a"), F.col("node").alias("b"))
+            else:
+                open_ = materialise(open_.select("short", "node", "cls"), "open")
+                pairs = open_.select("short", F.col("node").alias("a"), F.col("cls").alias("ca")).join(
+                    open_.select("short", F.col("node").alias("b"), F.col("cls").alias("cb")), "short").filter(
+                    "a < b AND ca <> cb").select("a", "b")
         pairs = pairs.filter("a <> b").distinct()
         if step == "short":
             pairs = classed(classed(pairs, classes, "a", "ca"), classes, "b", "cb").filter("ca <> cb").select("a", "b")
