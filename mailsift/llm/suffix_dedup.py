@@ -30,8 +30,8 @@ from mailsift.llm.common import Rolling, batched, materialise, scratch_path
 LENGTH = 100
 GRAM = 24
 BLOCK = 2_000_000  # bytes whose anchors are found at once
-SHARD = 2_000_000  # bytes of repeated windows in one suffix array
-MERGE = 1_000_000  # windows merged at once
+SHARD = 2_000_000  # bytes of the documents of one suffix array
+MERGE = 4_000_000  # bytes of pieces merged at once
 LANES = 2048
 NO_ID = -(1 << 63)
 
@@ -148,12 +148,13 @@ def repeats(data: np.ndarray, valid: np.ndarray) -> np.ndarray:
     return out
 
 
-def intervals(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted window starts as disjoint byte ranges they cover."""
+def intervals(places: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted window starts as disjoint byte ranges they cover, within each owner: owner, start, end."""
     if not len(places):
-        return places, places
-    cut = np.flatnonzero(np.diff(places) > LENGTH)
-    return places[np.concatenate([[0], cut + 1])], places[np.concatenate([cut, [len(places) - 1]])] + LENGTH
+        return owner, places, places
+    cut = (np.diff(places) > LENGTH) | (owner[1:] != owner[:-1])
+    first, last = np.append(True, cut), np.append(cut, True)
+    return owner[first], places[first], places[last] + LENGTH
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -183,55 +184,52 @@ def local_repeats(rows: DataFrame) -> DataFrame:
 
     A row without ``anchor`` is a range; one with it holds the bytes of consecutive windows that share the anchor.
     """
-    def shard(part: list[tuple]) -> Iterator[pa.RecordBatch]:
-        """part: (id_key, tag, bytes, starts, ends, anchors) of the runs of each document."""
-        part.sort(key=lambda d: (d[0], d[1]))
-        texts, valid, origin, owner = [], [], [], []
-        for i, (_, _, data, lo, hi, _) in enumerate(part):
-            new = np.concatenate([[True], lo[1:] > hi[:-1] + LENGTH])  # windows further apart share no byte
-            a, b = lo[new], hi[np.append(np.flatnonzero(new)[1:] - 1, len(hi) - 1)] + LENGTH
-            covered = np.zeros(len(data) + 1, np.int32)
-            covered[lo] += 1
-            covered[hi + 1] -= 1
-            covered = np.cumsum(covered) > 0
-            for x, y in zip(a.tolist(), b.tolist()):
-                texts.append(data[x:y])
-                valid.append(covered[x:y])
-                origin.append(np.arange(x, y, dtype=np.int32))
-                owner.append(np.full(y - x, i, np.int32))
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        origin, owner = np.concatenate(origin), np.concatenate(owner)
-        again = repeats(data, np.concatenate(valid))
-        out = []
-        for i, (key, tag, text, lo, hi, anchor) in enumerate(part):
-            own = slice(*np.searchsorted(owner, [i, i + 1]))
-            places = origin[own][again[own]]
-            out += [(key, tag, int(x), int(y), None, None) for x, y in zip(*intervals(places))]
-            dup = np.zeros(len(text) + 1, np.int64)
-            dup[places] = 1
-            dup = np.concatenate([[0], np.cumsum(dup)])
-            first = np.flatnonzero(dup[hi + 1] - dup[lo] <= hi - lo)  # at least one window is new here
-            out += [(key, tag, int(lo[j]), int(hi[j]), int(anchor[j]), text[lo[j]:hi[j] + LENGTH]) for j in first.tolist()]
-        kinds = (pa.int64(),) * 5 + (pa.binary(),)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+    def shard(keys: np.ndarray, tags: np.ndarray, texts: list[bytes], wanted: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((tags, keys)).tolist()  # the place in the shard's text is the order in the corpus
+        keys, tags = keys[order], tags[order]
+        data = np.frombuffer(b"".join([texts[i] for i in order]), np.uint8)
+        ends = np.cumsum([len(texts[i]) for i in order])
+        lo, hi, anchor, doc = anchors(data, ends)
+        held = np.concatenate([wanted[i] << 15 | k for k, i in enumerate(order)])  # a shard has fewer than 2^15 documents
+        hit = np.isin(anchor << 15 | doc, held)
+        lo, hi, anchor, doc = lo[hit], hi[hit], anchor[hit], doc[hit]
+        if not len(lo):
+            return
+        begin = np.append(0, ends[:-1])
+        covered, used = np.zeros((2, len(data) + 1), np.int32)
+        covered[lo] += 1
+        covered[hi + 1] -= 1
+        np.add.at(used, lo, 1)
+        np.add.at(used, hi + LENGTH, -1)
+        at = np.flatnonzero(np.cumsum(used[:-1]) > 0)
+        places = at[repeats(data[at], np.cumsum(covered[:-1])[at] > 0)]
+        owner, start, end = intervals(places, np.searchsorted(ends, places, side="right"))
+        n = len(owner)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys[owner]), pa.array(tags[owner]), pa.array(start - begin[owner]), pa.array(end - begin[owner]),
+             pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names)
+        late = np.zeros(len(data) + 1, np.int64)
+        late[places + 1] = 1
+        late = np.cumsum(late)
+        new = late[hi + 1] - late[lo] <= hi - lo  # at least one window is new here
+        lo, hi, anchor, doc = lo[new], hi[new], anchor[new], doc[new]
+        size = hi - lo + LENGTH
+        offset = np.append(0, np.cumsum(size))
+        raw = data[np.repeat(lo - offset[:-1], size) + np.arange(offset[-1])]
+        pieces = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(offset.astype(np.int32)), pa.py_buffer(raw)])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys[doc]), pa.array(tags[doc]), pa.array(lo - begin[doc]), pa.array(hi - begin[doc]),
+             pa.array(anchor), pieces], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, size, seen = [], 0, set()
         for batch in batches:
-            for key, tag, data, wanted in zip(*[batch.column(c).to_pylist() for c in ("id_key", "tag", "data", "anchors")]):
-                if (key, tag) in seen:  # a repeated row
-                    continue
-                seen.add((key, tag))
-                lo, hi, anchor, _ = anchors(np.frombuffer(data, np.uint8), np.array([len(data)]))
-                hit = np.isin(anchor, np.array(wanted, np.int64))
-                if hit.any():
-                    part.append((key, tag, data, lo[hit], hi[hit], anchor[hit]))
-                    size += int((hi[hit] - lo[hit] + 1).sum()) + LENGTH
-                if size > SHARD:
-                    yield from shard(part)
-                    part, size, seen = [], 0, {(key, tag)}
-        if part:
-            yield from shard(part)
+            keys, tags = np.asarray(batch.column("id_key")), np.asarray(batch.column("tag"))
+            texts, lists = batch.column("data").to_pylist(), batch.column("anchors")
+            for part in batched(list(range(len(texts))), [len(t) + 256 for t in texts], SHARD):
+                _, once = np.unique(np.stack([keys[part], tags[part]]), axis=1, return_index=True)  # no repeated rows
+                part = np.array(part)[once].tolist()
+                yield from shard(keys[part], tags[part], [texts[i] for i in part],
+                                 [np.asarray(lists[i].values, np.int64) for i in part])
 
     names = ["id_key", "tag", "lo", "hi", "anchor", "piece"]
     return rows.select("id_key", "tag", "data", "anchors").mapInArrow(
@@ -240,53 +238,46 @@ def local_repeats(rows: DataFrame) -> DataFrame:
 
 def merge_shards(pieces: DataFrame) -> DataFrame:
     """Byte ranges whose windows start earlier in another shard."""
-    def merged(keys: np.ndarray, tags: np.ndarray, lo: np.ndarray, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        sizes = np.array([len(t) for t in texts])
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        ends = np.cumsum(sizes)
-        counts = sizes - LENGTH + 1
+    def merged(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        keys, tags, lo = (np.asarray(rows.column(c)) for c in ("id_key", "tag", "lo"))
+        texts = rows.column("piece")
+        offset = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[offset[0]:offset[-1]]
+        counts = np.diff(offset) - LENGTH + 1
         piece = np.repeat(np.arange(len(texts)), counts)
         inner = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
-        at = (ends - sizes)[piece] + inner
-        order = np.lexsort((lo, tags, keys))  # pieces by document and place: the same for all windows of the block
+        at = (offset[:-1] - offset[0])[piece] + inner
+        order = np.lexsort((tags, keys))
         turn = np.empty(len(order), np.int64)
         changed = np.ones(len(order), bool)
         changed[1:] = (keys[order][1:] != keys[order][:-1]) | (tags[order][1:] != tags[order][:-1])
         turn[order] = np.cumsum(changed)
         time = turn[piece] << 32 | (lo[piece] + inner)  # earlier windows have smaller times
-        strong = Rolling(data).windows(LENGTH)[at] >> np.uint64(1)
+        strong = Rolling(data).windows(LENGTH)[at]
         check = Rolling(data ^ np.uint8(0x5A)).windows(LENGTH)[at]
-        by = np.lexsort((time, check, strong))
+        known = np.unique(strong)  # the merged run of keys; each window finds its place in it by bisection
+        place = np.searchsorted(known, strong)
+        by = np.lexsort((time, check, place))
         new = np.ones(len(by), bool)
-        new[1:] = (strong[by][1:] != strong[by][:-1]) | (check[by][1:] != check[by][:-1])
-        head = np.flatnonzero(new)  # each string's earliest place; those of a place are found by bisection
-        owner = head[np.searchsorted(head, np.arange(len(by)), side="right") - 1]
+        new[1:] = (place[by][1:] != place[by][:-1]) | (check[by][1:] != check[by][:-1])
         late = np.zeros(len(by), bool)
-        late[by] = time[by] != time[by[owner]]
-        out = []
-        places = (lo[piece] + inner)[late]
-        which = piece[late]
-        for j in np.unique(which).tolist():
-            a, b = np.searchsorted(which, [j, j + 1])
-            out += [(int(keys[j]), int(tags[j]), int(x), int(y)) for x, y in zip(*intervals(places[a:b]))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 4)], names)
+        late[by] = time[by] != time[by][np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
+        owner, start, end = intervals((lo[piece] + inner)[late], piece[late])
+        yield pa.RecordBatch.from_arrays([pa.array(keys[owner]), pa.array(tags[owner]), pa.array(start), pa.array(end)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last = [], 0, None
+        held, size = [], 0
         for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in ("anchor", "id_key", "tag", "lo", "piece")]):
-                if size > MERGE and row[0] != last:
-                    yield from flush(held)
-                    held, size = [], 0
-                held.append(row[1:])
-                size += len(row[4]) - LENGTH + 1
-                last = row[0]
-        if held:
-            yield from flush(held)
-
-    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        keys, tags, lo, texts = zip(*held)
-        yield from merged(np.array(keys, np.int64), np.array(tags, np.int64), np.array(lo, np.int64), list(texts))
+            held.append(batch)
+            size += batch.column("piece").nbytes
+            if size > MERGE:
+                rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                cut = int(np.searchsorted(np.asarray(rows.column("anchor")), rows.column("anchor")[-1].as_py()))
+                if cut:  # the last anchor may go on
+                    yield from merged(rows.slice(0, cut))
+                held, size = [rows.slice(cut)], rows.slice(cut).column("piece").nbytes
+        if size:
+            yield from merged(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
     names = ["id_key", "tag", "lo", "hi"]
     return pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
