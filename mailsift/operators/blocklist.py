@@ -31,9 +31,15 @@ def upsert(blocklist: DataFrame, reports: DataFrame) -> DataFrame:
         "domain", F.col("last.reason").alias("reason"), F.col("last.added_at").alias("added_at"))
 
 
+def entries(blocklist: DataFrame) -> DataFrame:
+    """Domain in lower case and reason, one row per domain: of several the latest, as in ``upsert``. Nulls are no entries."""
+    last = F.max(F.struct("added_at", "reason"))["reason"]
+    return blocklist.filter("domain IS NOT NULL").groupBy(F.lower("domain").alias("domain")).agg(last.alias("reason"))
+
+
 def lookup(hosts: DataFrame, blocklist: DataFrame, key: str = "host") -> DataFrame:
     """Hosts with ``known_threat`` and ``reason``; the size of the list decides how Spark joins."""
-    listed = blocklist.select(F.col("domain").alias("_domain"), F.col("reason"))
+    listed = entries(blocklist).withColumnRenamed("domain", "_domain")
     return (hosts.join(listed, F.lower(F.col(key)) == F.col("_domain"), "left")
             .withColumn("known_threat", F.col("_domain").isNotNull())
             .drop("_domain"))
@@ -41,7 +47,7 @@ def lookup(hosts: DataFrame, blocklist: DataFrame, key: str = "host") -> DataFra
 
 def inline_entries(blocklist: DataFrame, limit: int = INLINE_ROWS) -> list[tuple[str, str]] | None:
     """The entries when there are at most ``limit``, else None. Never reads more than ``limit + 1`` rows."""
-    rows = blocklist.select("domain", "reason").limit(limit + 1).collect()
+    rows = entries(blocklist).limit(limit + 1).collect()
     return None if len(rows) > limit else [(r["domain"], r["reason"]) for r in rows]
 
 
@@ -61,7 +67,7 @@ def listed_joined(df: DataFrame, blocklist: DataFrame, key: str = "email_id", ho
     ``df`` must be narrow: it is shuffled once by key. Only hosts that are listed reach the aggregation.
     """
     exploded = explode_rows(df, F.array_distinct(hosts), "host", key)
-    listed = blocklist.select(F.col("domain").alias("_domain"), "reason")
+    listed = entries(blocklist).withColumnRenamed("domain", "_domain")
     hits = (exploded.join(listed, F.lower("host") == F.col("_domain"))
             .groupBy(key).agg(F.collect_list(F.struct(F.col("host").alias("domain"), "reason")).alias("listed")))
     empty = F.from_json(F.lit("[]"), "ARRAY<STRUCT<domain: STRING, reason: STRING>>")

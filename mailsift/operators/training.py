@@ -55,7 +55,7 @@ def build(name: str, n_rows: int, params: dict | None = None) -> Estimator:
     if name == "logistic_regression":
         return LogisticRegression(regParam=1 / (p["C"] * n_rows), maxIter=p["max_iter"], standardization=False, **common)
     if name == "svm":
-        return LinearSVC(regParam=1 / (p["C"] * n_rows), maxIter=min(p["max_iter"], 100), standardization=False, **common)
+        return LinearSVC(regParam=1 / (p["C"] * n_rows), maxIter=p["max_iter"], standardization=False, **common)
     if name == "random_forest":
         return Pipeline(stages=[scaler, RandomForestClassifier(
             numTrees=p["n_estimators"], maxDepth=p["max_depth"], minInstancesPerNode=p["min_samples_leaf"],

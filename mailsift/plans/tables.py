@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mailsift import config, schemas
+from mailsift.functions.rows import filter_computed
 from mailsift.operators import (alerts as A, blocklist as B, decision as D, evaluation as E, feedback as FB,
                                 registry as G, retention as RT, risk as R)
 from mailsift.plans import sqlparts as S
@@ -241,7 +242,7 @@ def export_report(spark, sf_dir):
 def inbox_threats(spark, sf_dir):
     analysed = R.analyse(emails(spark, sf_dir), B.seeds(spark)).select("email_id", "risk_score")
     scored = analysed.withColumn("prediction", derived.evidence()["ml_prediction"])
-    return scored.filter(D.is_inbox_threat())
+    return filter_computed(scored, D.is_inbox_threat())
 
 
 @query("latest_emails", f"""WITH {S.EMAILS} SELECT email_id, CAST(epoch_us(received_at) AS BIGINT) AS received_at FROM emails

@@ -71,3 +71,21 @@ def test_scoring_shuffles_nothing(spark):
     plan = R.analyse(mails, B.seeds(spark)).select("email_id", "risk_score")
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in text and "Join" not in text
+
+
+def test_blocklist_takes_any_spelling_repeats_and_nulls(spark):
+    rows = [("Bad.Example", "old", "2020-01-01"), ("bad.example", "new", "2021-01-01"), (None, "none", "2021-01-01")]
+    listed = spark.createDataFrame(rows, "domain string, reason string, added string").selectExpr(
+        "domain", "reason", "CAST(added AS TIMESTAMP) AS added_at")
+    hosts = spark.createDataFrame([(1, ["BAD.example", "good.example"])], "email_id long, hosts array<string>")
+    from mailsift.operators import blocklist as B
+    inline = hosts.withColumn("listed", B.listed_inline(hosts["hosts"], B.inline_entries(listed)))
+    for df in (inline, B.listed_joined(hosts, listed)):
+        assert [tuple(x) for x in df.first()["listed"]] == [("BAD.example", "new")]
+
+
+def test_alerts_analyse_once(spark):
+    from mailsift.plans import catalog
+    catalog.load_all()
+    df = catalog.QUERIES["alerts"](spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 8
