@@ -3,9 +3,10 @@
 Each text has one label per tree, a sequence of minima; texts that agree on a prefix of a label meet in a node of the
 tree's trie. Matching starts at the full depth and shortens the prefix until texts at the threshold meet in some tree
 with the target probability; pairs that already share a class are not looked at again. Within a node, texts are
-first compared with the node's hub only. At the last depth, nodes that still hold several classes are compared across
-these classes in full, so no link between different texts is lost that the forest has found, while a large group of
-similar texts costs about one comparison per text and tree.
+first compared with the node's hub only, so a large group of similar texts costs about one comparison per text and tree.
+At the last depth, texts of different classes that share a node are compared where they can reach the threshold: one of
+their rarest shingles must be shared. So no link between different texts is lost that the forest has found, while texts
+that merely hold the same common passage are not paired.
 
 Identical texts are one node of the graph, told by a 64-bit hash. Only candidates' texts are shuffled.
 """
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsift.llm.common import Rolling, batched, materialise, mix
@@ -27,6 +28,7 @@ TREES = 32
 DEPTH = 8
 RECALL = 0.99999
 BLOCK = 1_000_000  # bytes whose shingles are found at once
+COUNTED = 1 << 20  # hash buckets in which shingles are counted to put the rare ones first
 NO_ID = -(1 << 63)
 
 
@@ -156,6 +158,88 @@ def classed(df: DataFrame, classes: DataFrame | None, column: str, name: str) ->
     return df.join(own, column, "left").withColumn(name, F.coalesce("own", column)).drop("own")
 
 
+def shingle_sets(batch: pa.RecordBatch) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Blocks of rows with their distinct shingles, text after text, and the row within the block of each shingle."""
+    texts = batch.column("text").to_pylist()
+    for part in batched(list(range(len(texts))), [len(t) for t in texts], BLOCK):
+        hashes, counts = shingles([texts[i] for i in part])
+        owner = np.repeat(np.arange(len(part)), counts)
+        order = np.lexsort((hashes, owner))
+        hashes, owner = hashes[order], owner[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+        yield part, hashes[new], owner[new]
+
+
+def bucket_counts(texts: DataFrame) -> np.ndarray:
+    """In how many texts the shingles of each of ``COUNTED`` hash buckets occur; a table of fixed size."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTED, np.int64)
+        for batch in batches:
+            for _, hashes, _ in shingle_sets(batch):
+                np.add.at(total, (hashes % np.uint64(COUNTED)).astype(np.int64), 1)
+        hit = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], ["bucket", "n"])
+    out = np.zeros(COUNTED, np.int64)
+    summed = texts.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    out[summed["bucket"].to_numpy(np.int64)] = summed["n"].to_numpy(np.int64)
+    return out
+
+
+def rarest(texts: DataFrame, threshold: float) -> DataFrame:
+    """node, cls, and the text's rarest shingles with their place in the common order and the text's number of shingles.
+
+    Texts at the threshold share at least ``threshold`` of the larger one's shingles, so in any order common to all texts
+    one of the first 1 - threshold of each is shared. Rare shingles come first: a passage of many texts comes last.
+    """
+    often = texts.sparkSession.sparkContext.broadcast(bucket_counts(texts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, hashes, owner in shingle_sets(batch):
+                order = np.lexsort((hashes, often.value[(hashes % np.uint64(COUNTED)).astype(np.int64)], owner))
+                hashes, owner = hashes[order], owner[order]
+                size = np.bincount(owner, minlength=len(part))
+                at = np.arange(len(owner)) - (np.cumsum(size) - size)[owner]
+                keep = at <= (size - np.ceil(threshold * size - 1e-6))[owner]
+                own = batch.take(pa.array(part)).take(pa.array(owner[keep]))
+                yield pa.RecordBatch.from_arrays(
+                    [own.column("node"), own.column("cls"), pa.array(hashes[keep].view(np.int64)), pa.array(at[keep]),
+                     pa.array(size[owner[keep]])], ["node", "cls", "gram", "at", "size"])
+    return texts.select("node", "cls", "text").mapInArrow(run, "node long, cls long, gram long, at long, size long")
+
+
+def across_classes(open_: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different classes that meet in the forest and may reach the threshold, without forming the others.
+
+    Only classes that share a rare shingle are paired, and of these the texts that hold it. In the common order, the texts
+    can share no more than this shingle and what follows in both; what so stays below the threshold, first by the bounds
+    of a class and then by those of a text, isn't formed.
+    """
+    met = materialise(open_.groupBy("node").agg(F.first("cls").alias("cls"), F.collect_set("short").alias("shorts")), "open-texts")
+    rare = materialise(rarest(texts.join(met.select("node", "cls"), "node"), threshold), "rarest")
+    mixed = rare.groupBy("gram").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).filter("x <> y").select("gram")
+    rare = materialise(rare.join(mixed, "gram"), "rarest")
+    rare = rare.withColumn("rest", F.col("size") - F.col("at"))
+    kinds = rare.groupBy("gram", "cls").agg(F.max("rest").alias("most"), F.min("size").alias("least"))
+
+    def side(df: DataFrame, x: str) -> DataFrame:
+        return df.select("gram", *[F.col(c).alias(f"{c}_{x}") for c in df.columns if c != "gram"])
+
+    def can_reach(rest_a: str, size_a: str, rest_b: str, size_b: str) -> Column:
+        shared = F.least(rest_a, rest_b)
+        return shared >= threshold * (F.col(size_a) + F.col(size_b) - shared) - 1e-6
+    pairs = side(kinds, "a").join(side(kinds, "b"), "gram").filter("cls_a < cls_b").filter(
+        can_reach("most_a", "least_a", "most_b", "least_b"))
+    members = rare.select("gram", "cls", "node", "rest", "size")
+    pairs = pairs.join(side(members, "a"), ["gram", "cls_a"]).filter(can_reach("rest_a", "size_a", "most_b", "least_b"))
+    pairs = pairs.join(side(members, "b"), ["gram", "cls_b"]).filter(can_reach("rest_a", "size_a", "rest_b", "size_b"))
+    pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    for x in "ab":
+        pairs = pairs.join(met.select(F.col("node").alias(x), F.col("shorts").alias(f"shorts_{x}")), x)
+    return pairs.filter(F.arrays_overlap("shorts_a", "shorts_b")).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH,
                     recall: float = RECALL) -> DataFrame:
     """One row per document: doc_id, class_id (least doc_id of its class), class_size, n_links.
@@ -186,10 +270,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, trees: int =
                 hubs = outside.groupBy("short").agg(F.max(F.struct("meets", "node", "cls")).alias("top"))
                 pairs = open_.join(hubs, "short").filter("cls <> top.cls").select(F.col("top.node").alias("a"), F.col("node").alias("b"))
             else:
-                open_ = materialise(open_.select("short", "node", "cls"), "open")
-                pairs = open_.select("short", F.col("node").alias("a"), F.col("cls").alias("ca")).join(
-                    open_.select("short", F.col("node").alias("b"), F.col("cls").alias("cb")), "short").filter(
-                    "a < b AND ca <> cb").select("a", "b")
+                pairs = across_classes(materialise(open_.select("short", "node", "cls"), "open"), texts, threshold)
         pairs = pairs.filter("a <> b").distinct()
         if step == "short":
             pairs = classed(classed(pairs, classes, "a", "ca"), classes, "b", "cb").filter("ca <> cb").select("a", "b")

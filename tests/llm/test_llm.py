@@ -184,6 +184,25 @@ def test_forest(spark, docs, none):
     assert lsh_forest.depths()[-1] < lsh_forest.DEPTH
 
 
+def test_forest_compares_all_classes_that_can_reach_the_threshold(spark):
+    rng = random.Random(3)
+    passage = prose(rng, 90)
+    texts = []
+    for k in range(60):  # one common passage, with own words from none to as many
+        own = prose(rng, rng.choice([0, 1, 2, 8, 20, 60, 90]))
+        texts += [f"{passage} {own}", f"{own} {passage}"][:1 + k % 2]
+    texts += [f"{t} end{k % 3}" for k, t in enumerate(texts[:40])]
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    table = [(n, n // 3, 7 + n % 2, bytearray(t.encode())) for n, t in enumerate(texts)]  # three texts a class, met in one of two tries
+    df = spark.createDataFrame(table, "node long, cls long, short long, text binary").repartition(5)
+    pairs = lsh_forest.across_classes(df.select("short", "node", "cls"), df.select("node", "text"), 0.8)
+    found = [(r["a"], r["b"]) for r in pairs.collect()]
+    every = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if i // 3 != j // 3 and i % 2 == j % 2}
+    close = {(i, j) for i, j in every if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(found) == len(set(found)) and close <= set(found) <= every
+    assert 20 < len(close) and len(found) < len(every)
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
     path = public_tokenizers.path("byte_bpe_50k.json")
