@@ -1,7 +1,7 @@
 """Vocabularies and term weights.
 
-A fitted vectorizer is a table ``term, term_id, df, cf, idf``. Its size has a fixed maximum, so it can be
-broadcast whatever the size of the corpus; documents are shuffled once, by their key.
+A fitted vectorizer is a table ``term, term_id, df, cf, idf``. Up to ``BROADCAST_TERMS`` terms it is broadcast, whatever
+the size of the corpus. The terms of a document are counted within its row, before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -11,7 +11,10 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mailsift.functions import patterns as P, text as T
-from mailsift.functions.rows import explode_rows, inline_rows
+from mailsift.functions.rows import inline_rows
+
+
+BROADCAST_TERMS = 100_000  # terms a vocabulary may have to be broadcast; a few MB
 
 
 @dataclass(frozen=True)
@@ -57,26 +60,36 @@ def _char_ngrams(words: Column, sizes: tuple[int, int]) -> Column:
     return F.concat(*[F.flatten(F.transform(words, lambda w: grams(w, n))) for n in range(sizes[0], sizes[1] + 1)])
 
 
+def _counted(df: DataFrame) -> DataFrame:
+    """Replace ``_terms``, all occurrences, by ``terms ARRAY<STRUCT<term,tf>>``: the lengths of the runs of the sorted terms."""
+    df = df.withColumn("_sorted", F.sort_array("_terms")).drop("_terms")
+    n = F.size("_sorted")
+    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    df = df.withColumn("_first", F.filter(places, lambda i: (i == 1) | (
+        F.get("_sorted", i - 1) != F.get("_sorted", i - 2))))
+    return df.withColumn("terms", F.transform("_first", lambda start, i: F.struct(
+        F.get("_sorted", start - 1).alias("term"),
+        (F.coalesce(F.get("_first", i + 1), n + 1) - start).cast("long").alias("tf")))).drop("_sorted", "_first")
+
+
 def with_terms(docs: DataFrame, v: Vectorizer, text: str = "text") -> DataFrame:
-    """Replace the text column by ``terms``, all occurrences of terms in a document."""
+    """Replace the text column by ``terms``, the distinct terms of a document with their counts."""
     flat = docs.withColumn(text, T.strip_accents(F.lower(F.col(text))))
     if v.analyzer == "char_wb":
         padded = F.transform(T.tokenize(F.col(text)), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
         flat = flat.withColumn("_words", padded)
-        return flat.withColumn("terms", _char_ngrams(F.col("_words"), v.ngrams)).drop(text, "_words")
+        return _counted(flat.withColumn("_terms", _char_ngrams(F.col("_words"), v.ngrams)).drop(text, "_words"))
     if v.ngrams != (1, 2):
         raise ValueError("word n-grams are built for sizes one to two")
     tokens = F.regexp_extract_all(F.col(text), F.lit(f"[{P.WORD}]{{2,}}"), F.lit(0))
     flat = flat.withColumn("_tokens", tokens)
-    return flat.withColumn("terms", F.concat("_tokens", _bigrams(F.col("_tokens")))).drop(text, "_tokens")
+    return _counted(flat.withColumn("_terms", F.concat("_tokens", _bigrams(F.col("_tokens")))).drop(text, "_tokens"))
 
 
 def fit(docs: DataFrame, v: Vectorizer) -> DataFrame:
-    """Vocabulary from ``terms``; one pass and one shuffle with partial sums give both frequencies."""
-    per_doc = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("t"), F.lit(1).alias("d"), F.lit(0).alias("c")))
-    per_use = F.transform("terms", lambda t: F.struct(t.alias("t"), F.lit(0).alias("d"), F.lit(1).alias("c")))
-    counted = (explode_rows(docs, F.concat(per_doc, per_use), "x")
-               .groupBy(F.col("x.t").alias("term")).agg(F.sum("x.d").alias("df"), F.sum("x.c").alias("cf")))
+    """Vocabulary from ``terms``: one row per document and term, summed before the shuffle, gives both frequencies."""
+    counted = inline_rows(docs, "terms", "term").groupBy("term").agg(
+        F.count("*").alias("df"), F.sum("tf").alias("cf"))
     n = docs.agg(F.count("*")).scalar()
     kept = (counted.filter((F.col("df") >= v.min_df) & (F.col("df") <= n * v.max_df))
             .orderBy(F.col("cf").desc(), "term").limit(v.max_features))
@@ -89,14 +102,15 @@ def fit(docs: DataFrame, v: Vectorizer) -> DataFrame:
 def vectors(docs: DataFrame, vocab: DataFrame, v: Vectorizer, key: str = "doc_id") -> DataFrame:
     """``key, entries ARRAY<STRUCT<term_id,weight>>`` by term; documents without known terms keep an empty array.
 
-    Unknown terms are dropped before the shuffle. Repartitioning by document serves both aggregations.
+    Unknown terms are dropped before the only shuffle, the one by document.
     """
-    small = F.broadcast(vocab.select("term", "term_id", "idf"))
-    # A leading null keeps every document; other occurrences of unknown terms go before the shuffle.
-    terms = F.concat(F.array(F.lit(None).cast("string")), "terms")
-    uses = docs.select(key, F.explode_outer(terms).alias("term")).join(small, "term", "left")
-    uses = uses.filter(F.col("term").isNull() | F.col("term_id").isNotNull()).select(key, "term_id", "idf")
-    counts = uses.repartition(key).groupBy(key, "term_id", "idf").agg(F.count("*").alias("tf"))
+    known = vocab.select("term", "term_id", "idf")
+    if v.max_features <= BROADCAST_TERMS:
+        known = F.broadcast(known)
+    # A leading null keeps every document; other unknown terms go before the shuffle.
+    terms = F.concat(F.array(F.lit(None).cast("struct<term: string, tf: bigint>")), "terms")
+    counts = docs.select(key, F.inline_outer(terms)).join(known, "term", "left")
+    counts = counts.filter(F.col("term").isNull() | F.col("term_id").isNotNull()).drop("term")
     tf = F.log("tf") + 1.0 if v.sublinear else F.col("tf").cast("double")
     weight = tf * F.col("idf") if v.weighted else tf
     counts = counts.withColumn("weight", weight)

@@ -12,10 +12,18 @@ def _order(seed: int, key: str):
 def exact_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows (all, if there are fewer) in a pseudo-random order of the key.
 
-    Only keys are ordered; the rows are fetched by a semi join.
+    No task orders the sample: counts per hash bucket (at most 65,536 rows, in hash order) tell which buckets are
+    taken whole and in which one the boundary falls; only that one is ranked.
     """
-    chosen = df.select(key).orderBy(_order(seed, key), key).limit(n)
-    return chosen if df.columns == [key] else df.join(chosen, key, "left_semi")
+    rows = df.withColumn("_order", _order(seed, key)).withColumn("_bucket", F.substring("_order", 1, 4))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    limits = rows.groupBy("_bucket").agg(F.count("*").alias("_n")).select(
+        F.col("_bucket").alias("_b"), "_n", (F.lit(n) - before).alias("_quota")).filter("_quota > 0")
+    placed = rows.join(limits, F.col("_bucket") == F.col("_b"))
+    whole = placed.filter("_quota >= _n")
+    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("_order", key))
+    edge = placed.filter("_quota < _n").withColumn("_rank", rank).filter(F.col("_rank") <= F.col("_quota"))
+    return whole.select(*df.columns).unionByName(edge.select(*df.columns))
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test_share: float = 0.2, seed: int = 42,

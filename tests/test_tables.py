@@ -1,10 +1,12 @@
 """Stores, registry, metrics, samples and neighbours."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mailsift.operators import evaluation as E, feedback as FB, neighbours as N, registry as G, retention as RT
+from mailsift.operators import evaluation as E, features as FE, feedback as FB, neighbours as N, registry as G, retention as RT
 from mailsift.operators.sampling import exact_sample, stratified_split
 from mailsift.sources import stores
 
@@ -71,7 +73,27 @@ def test_split_is_exact_and_disjoint(spark):
     got = {(r["label"], r["is_test"]): r["n"] for r in split.groupBy("label", "is_test").agg(F.count("*").alias("n")).collect()}
     assert got == {("spam", True): 20, ("spam", False): 80, ("ham", True): 180, ("ham", False): 720}
     assert split.select("id").distinct().count() == 1000
-    assert exact_sample(rows, "id", 37).count() == 37
+    by_hash = sorted(range(1000), key=lambda i: (hashlib.md5(f"42:{i}".encode()).hexdigest(), i))
+    for n in (0, 1, 37, 1000, 2000):
+        assert {r["id"] for r in exact_sample(rows, "id", n).collect()} == set(by_hash[:n])
+
+
+def test_sample_of_repeated_keys_is_exact(spark):
+    rows = spark.range(500).select(F.lit(7).alias("id"), F.col("id").alias("x"))
+    assert exact_sample(rows, "id", 123).count() == 123
+    assert exact_sample(rows.filter("x < 0"), "id", 5).count() == 0
+
+
+def test_terms_are_counted_within_the_row(spark):
+    docs = spark.createDataFrame([(1, "aa bb aa bb aa"), (2, ""), (3, None)], "doc_id LONG, text STRING")
+    v = FE.get_vectorizer("bow", min_df=1, max_df=1.0)
+    got = {r["doc_id"]: r["terms"] for r in FE.with_terms(docs, v).collect()}
+    assert {t["term"]: t["tf"] for t in got[1]} == {"aa": 3, "bb": 2, "aa bb": 2, "bb aa": 2}
+    assert not got[2] and not got[3]
+    vocab, vecs = FE.fit_transform(docs, "bow", min_df=1, max_df=1.0)
+    assert {r["term"]: (r["df"], r["cf"]) for r in vocab.collect()} == {
+        "aa": (1, 3), "bb": (1, 2), "aa bb": (1, 2), "bb aa": (1, 2)}
+    assert {r["doc_id"]: len(r["entries"]) for r in vecs.collect()} == {1: 4, 2: 0, 3: 0}
 
 
 @pytest.mark.parametrize("exclude_self,block", [(True, 4096), (False, 16)])
