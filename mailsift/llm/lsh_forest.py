@@ -240,15 +240,9 @@ def across_classes(open_: DataFrame, texts: DataFrame, threshold: float) -> Data
     return pairs.filter(F.arrays_overlap("shorts_a", "shorts_b")).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH,
-                    recall: float = RECALL) -> DataFrame:
-    """One row per document: doc_id, class_id (least doc_id of its class), class_size, n_links.
-
-    Classes are the connected components of similarity at or above the threshold. n_links counts the verified links
-    of the document's text to other texts: links to hubs, and links between classes; a class of similar texts is held
-    together by these without expanding all pairs. Null and empty texts are one class; they have no links. Rows that
-    repeat an id are listed each. A class whose ids are all null has a null class_id. An empty table gives no rows.
-    """
+def near_members(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH,
+                 recall: float = RECALL) -> tuple[DataFrame, DataFrame | None]:
+    """One row per document - doc_id, node, cls - and the verified links, if there are any."""
     signed = materialise(signatures(docs, trees, depth, depths(trees, depth, threshold, recall)), "signatures")
     forest = candidates(signed)
     picked = (signed.select("node", "id_key").join(forest.select("node").distinct(), "node")
@@ -278,8 +272,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, trees: int =
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             classes = components(links)
+    return classed(signed.select("doc_id", "node"), classes, "node", "cls"), links
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH,
+                    recall: float = RECALL) -> DataFrame:
+    """One row per document: doc_id, class_id (least doc_id of its class), class_size, n_links.
+
+    Classes are the connected components of similarity at or above the threshold. n_links counts the verified links
+    of the document's text to other texts: links to hubs, and links between classes; a class of similar texts is held
+    together by these without expanding all pairs. Null and empty texts are one class; they have no links. Rows that
+    repeat an id are listed each. A class whose ids are all null has a null class_id. An empty table gives no rows.
+    """
+    members, links = near_members(docs, threshold, trees, depth, recall)
     size = F.count("*").alias("class_size")
-    members = classed(signed.select("doc_id", "node"), classes, "node", "cls")
     if links is None:
         members = members.withColumn("n_links", F.lit(0).cast("long"))
     else:
@@ -290,8 +296,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, trees: int =
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents with the least id of their class, with their columns, one row for each class."""
-    first = near_duplicates(docs).filter("doc_id <=> class_id").select(
-        F.coalesce("doc_id", F.lit(NO_ID)).alias("id_key")).distinct()
-    rows = docs.select(F.coalesce(docs["doc_id"], F.lit(NO_ID)).alias("id_key"), F.struct("*").alias("doc"))
-    return rows.join(first, "id_key").dropDuplicates(["id_key"]).select("doc.*")
+    """The documents with the least id of their class, with their columns, one row for each class.
+
+    A null id is taken only where the class has no other; of rows that share the id, one text of the class stays.
+    """
+    own = F.coalesce("doc_id", F.lit(NO_ID)).alias("id_key")
+    heads = near_members(docs)[0].groupBy("cls").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), own, "node")).alias("head")).select("head.id_key", "head.node")
+    rows = docs.select(F.coalesce(docs["doc_id"], F.lit(NO_ID)).alias("id_key"),
+                       F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("node"), F.struct("*").alias("doc"))
+    return rows.dropDuplicates(["id_key", "node"]).join(heads, ["id_key", "node"]).select("doc.*")

@@ -184,6 +184,18 @@ def test_forest(spark, docs, none):
     assert lsh_forest.depths()[-1] < lsh_forest.DEPTH
 
 
+def test_forest_keeps_one_row_of_each_class(spark):
+    rng = random.Random(12)
+    first, second, third, fourth, fifth = (prose(rng, 60) for _ in range(5))
+    table = [(1, first), (1, second), (2, first + " end"), (3, second), (None, third), (None, fourth), (None, fourth), (None, None),
+             (4, fifth), (None, fifth), (4, fifth + " end"), (5, "")]
+    df = spark.createDataFrame([(t, i, k) for k, (i, t) in enumerate(table)], "text string, doc_id long, node long").repartition(3)
+    kept = lsh_forest.drop_near_duplicates(df)
+    got = counted((r["doc_id"], (r["text"] or "").removesuffix(" end")) for r in kept.collect())
+    assert kept.columns == df.columns
+    assert got == counted([(1, first), (1, second), (None, third), (None, fourth), (4, fifth), (5, "")])
+
+
 def test_forest_compares_all_classes_that_can_reach_the_threshold(spark):
     rng = random.Random(3)
     passage = prose(rng, 90)
