@@ -41,9 +41,10 @@ LOOSE = [
     (3, re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}(?![0-9])")),
     (4, re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")),
     (4, re.compile(r"(?<![A-Za-z0-9])(?:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}"
-                   r"[\"']?[A-Za-z0-9+/_-]{8,128}[\"']?", re.I)),
+                   r"[\"']?(?:eyJ[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){0,3}\.[A-Za-z0-9_-]+|[A-Za-z0-9+/_-]{8,}={0,2})[\"']?", re.I)),
 ]
 GATE = re.compile(r"[0-9]|[(\[]\s?at\s?[)\]]", re.I)
+SECRET_LEAST = 8  # characters of a secret
 CONTEXT = {
     0: re.compile(r"\b(?:e-?mail|mail|contact|correo|kontakt|courriel)\b", re.I),
     2: re.compile(r"\b(?:card|visa|credit|carte|karte|tarjeta|payment)\b", re.I),
@@ -121,21 +122,38 @@ def votes_on(kind: int, text: str, start: int, end: int) -> tuple[int, ...]:
     elif kind == 3:
         known, check = bool(AREA.match(body)), int(len(digits) == 10)
     else:
-        value = re.split(r"[=:]", body)[-1].strip(" \"'")
+        value = re.split(r"[=:]", body, maxsplit=1)[-1].strip(" \"'")
         known, check = bool(KEYS.search(body)), int(len(set(value)) >= 6 and any(c.isdigit() for c in value))
     said = bool(CONTEXT[kind].search(left + " " + (body if kind == 4 else "") + " " + right))
     return int(bounded), int(known), 1 if said else -1, check, 0 if AGAINST.search(left) else -1
 
 
+def outside(body: str, start: int, inner: list[tuple[int, int]]) -> int:
+    """Characters of a secret's value that none of the spans covers; 0 if a span crosses the secret's bounds."""
+    first = start + (m.end() if (m := re.search(r"[=:]\s*[\"']?", body)) else 0)
+    end, left = first, start + len(body)
+    if any(s < first or e > left for s, e in inner):
+        return 0
+    free = left - first
+    for s, e in sorted(inner):
+        free -= max(0, e - max(s, end))
+        end = max(end, e)
+    return free
+
+
 def candidates(text: str, base: list[Span]) -> list[tuple[int, int, int, str]]:
-    """Loose matches that touch no base span and no earlier candidate, with their features as text."""
+    """Loose matches that touch no base span and no earlier candidate, with their features as text.
+
+    A secret may hold such spans, as long keys hold runs of digits, if enough of its value lies outside them.
+    """
     if not GATE.search(text):
         return []
     taken, found = sorted((s, e) for _, s, e in base), []
     for kind, pattern in LOOSE:
         for m in pattern.finditer(text):
             start, end = m.span()
-            if any(s < end and start < e for s, e in taken):
+            inner = [(s, e) for s, e in taken if s < end and start < e]
+            if inner and not (kind == 4 and outside(m.group(), start, inner) >= SECRET_LEAST):
                 continue
             taken.append((start, end))
             digits = sum(map(len, DIGITS.findall(m.group())))
@@ -252,7 +270,7 @@ def find_pii(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One row per document: counts and digest of the base spans, and all spans.
 
     Null and empty texts have no spans. Rows are scanned each by itself, so repeated rows agree and null ids are kept.
-    Where candidates overlap, the earlier pattern wins. An empty table gives no rows.
+    Where candidates overlap, the earlier pattern wins, but a secret may hold other spans. An empty table gives no rows.
     """
     scanned = materialise(scan(docs), "pii")
     chance = learn(scanned)

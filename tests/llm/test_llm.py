@@ -363,6 +363,21 @@ def test_pii(docs, none):
     assert pii_weak.redact(docs).columns == docs.columns
 
 
+def test_secrets_are_covered_to_their_end(spark):
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-"
+    key = "".join(rng.choices(letters, k=5000))
+    values = ["a7" + key, "x" * 40 + "4111111111111111" + "y" * 300, key[:300] + "1234567890123" + "q" * 50, "ab9" * 60 + "==",
+              "eyJ" + ".".join(["".join(rng.choices(letters, k=200)) for _ in range(3)])]
+    table = [(i, f"deploy with token={v} tonight") for i, v in enumerate(values * 6)]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(2)
+    spans = {r["doc_id"]: r["spans"].split(",") for r in pii_weak.find_pii(df).collect()}
+    for i, text in table:
+        assert f"secret:12:{len(text) - 8}" in spans[i]
+    assert {r["text"] for r in pii_weak.redact(df).collect()} == {"deploy with [SECRET] tonight"}
+    assert pii_weak.candidates("token: 4111111111111111", pii_weak.base_spans("token: 4111111111111111")) == []
+
+
 def test_fixity(spark):
     pages = spark.createDataFrame([(i, f"u{i}", f"page {i} " * 400) for i in range(300)] + [(None, "u", "h"), (5, None, None)],
                                   "page_id long, url string, html string")
