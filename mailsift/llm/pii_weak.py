@@ -43,7 +43,7 @@ LOOSE = [
     (4, re.compile(r"(?<![A-Za-z0-9])(?:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}"
                    r"[\"']?(?:eyJ[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){0,3}\.[A-Za-z0-9_-]+|[A-Za-z0-9+/_-]{8,}={0,2})[\"']?", re.I)),
 ]
-GATE = re.compile(r"[0-9]|[(\[]\s?at\s?[)\]]", re.I)
+GATE = re.compile(r"[0-9]|[(\[]\s?at\s?[)\]]|AKIA|ASIA|password|passwd|pwd|token|secret|api[_-]?key", re.I)
 SECRET_LEAST = 8  # characters of a secret
 CONTEXT = {
     0: re.compile(r"\b(?:e-?mail|mail|contact|correo|kontakt|courriel)\b", re.I),
