@@ -79,8 +79,8 @@ def differing(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 def audit(pages: DataFrame, replica: DataFrame) -> DataFrame:
     """The records at fault: file, leaf, page_id, status (corrupt, missing, extra), expected and found digest.
 
-    Equal replicas, and empty ones, give no rows. Of records that repeat an id, each digest that lacks its counterpart is
-    reported. Hashing reads every record once; comparing reads only what lies below differing nodes.
+    Equal replicas, and empty ones, give no rows. Of records that repeat an id, each that lacks its counterpart is reported,
+    equal ones as often as they lack it; what is expected and what is found are paired in the order of the digests. Hashing reads every record once; comparing reads only what lies below differing nodes.
     """
     recs_a = materialise(place(records(pages)), "warc-records")
     recs_b = materialise(place(records(replica), recs_a), "warc-records")
@@ -102,14 +102,15 @@ def audit(pages: DataFrame, replica: DataFrame) -> DataFrame:
 
     def suspects(recs: DataFrame, name: str) -> DataFrame:
         inside = recs.join(leaves, ["file", "leaf"], "left_semi")
-        return inside.groupBy("file", "page_id", "digest").agg(
-            F.count("*").alias(f"n_{name}"), F.min("leaf").alias(f"leaf_{name}"))
-    both = suspects(recs_a, "a").join(suspects(recs_b, "b"), ["file", "page_id", "digest"], "full_outer")
-    odd = both.withColumn("more", F.coalesce("n_a", F.lit(0)) - F.coalesce("n_b", F.lit(0))).filter("more <> 0")
-    found = odd.groupBy("file", "page_id").agg(
-        F.min(F.coalesce("leaf_a", "leaf_b")).alias("leaf"),
-        F.max(F.when(F.col("more") > 0, F.col("digest"))).alias("expected"),
-        F.max(F.when(F.col("more") < 0, F.col("digest"))).alias("found"))
+        copy = F.row_number().over(Window.partitionBy("file", "page_id", "digest").orderBy("leaf"))
+        return inside.select("file", "page_id", "digest", copy.alias("copy"), F.col("leaf").alias(f"leaf_{name}"))
+    both = suspects(recs_a, "a").join(suspects(recs_b, "b"), ["file", "page_id", "digest", "copy"], "full_outer")
+    odd = both.filter("leaf_a IS NULL OR leaf_b IS NULL").withColumn("lost", F.col("leaf_b").isNull())
+    turn = F.row_number().over(Window.partitionBy("file", "page_id", "lost").orderBy("digest", "copy"))
+    odd = odd.withColumn("turn", turn)
+    lost = odd.filter("lost").select("file", "page_id", "turn", "leaf_a", F.col("digest").alias("expected"))
+    new = odd.filter("NOT lost").select("file", "page_id", "turn", F.col("leaf_b").alias("leaf_n"), F.col("digest").alias("found"))
+    found = lost.join(new, ["file", "page_id", "turn"], "full_outer").withColumn("leaf", F.coalesce("leaf_a", "leaf_n"))
     status = F.when(F.col("found").isNull(), "missing").when(F.col("expected").isNull(), "extra").otherwise("corrupt")
     return found.select("file", "leaf", "page_id", status.alias("status"), "expected", "found")
 

@@ -398,6 +398,25 @@ def test_fixity(spark):
     assert warc_fixity.audit(pages.limit(0), pages.limit(0)).count() == 0
 
 
+def test_fixity_reports_every_record_of_a_repeated_id(spark):
+    schema = "page_id long, url string, html string"
+    sound = [(i, f"u{i}", f"page {i} " * 400) for i in range(120)]
+    twice = [(7, "v", "one"), (7, "w", "two"), (8, "x", "same"), (8, "x", "same"), (8, "x", "same"), (9, "y", "big" * 40000), (9, "y", "big" * 40000)]
+    bad = [(7, "v", "ONE"), (8, "x", "same"), (10, "z", "new"), (10, "z", "new")]
+
+    def digests(rows):
+        return [r["digest"] for i, u, h in rows for r in warc_fixity.records(spark.createDataFrame([(i, u, h)], schema)).collect()]
+    one, two, same, _, _, big, _ = digests(twice)
+    wrong, _, new, _ = digests(bad)
+    replica = [r for r in sound if r[0] != 7] + bad
+    got = warc_fixity.audit(spark.createDataFrame(sound + twice, schema).repartition(3), spark.createDataFrame(replica, schema)).collect()
+    seven = sorted([one, two, *digests(sound[7:8])])
+    want = [(7, "corrupt", seven[0], wrong), (7, "missing", seven[1], None), (7, "missing", seven[2], None),
+            *[(8, "missing", same, None)] * 2, *[(9, "missing", big, None)] * 2, *[(10, "extra", None, new)] * 2]
+    assert counted((r["page_id"], r["status"], r["expected"], r["found"]) for r in got) == counted(want)
+    assert all(r["leaf"] is not None for r in got)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     sf = "/root/testdata/sf0.001"
