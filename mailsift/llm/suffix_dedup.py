@@ -9,6 +9,7 @@
    100 bytes in common is one string; all but its earliest place in the shard are repeats.
 3. Merge: what is first within its shard - one place per string and shard, however hot the string - goes with its
    bytes to the shard's peers by anchor; there the strings' sorted keys are searched by bisection for the earliest place.
+   The windows of an anchor with too many bytes for that - a phrase in many texts - are dealt by their own hashes instead.
 
 The text of documents with repeated anchors is shuffled once and kept bucketed by document, so that the last step, which
 cuts the bytes out, needs no second shuffle of texts.
@@ -31,7 +32,8 @@ LENGTH = 100
 GRAM = 24
 BLOCK = 2_000_000  # bytes whose anchors are found at once
 SHARD = 2_000_000  # bytes of the documents of one suffix array
-MERGE = 4_000_000  # bytes of pieces merged at once
+MERGE = 4_000_000  # bytes of pieces merged at once, and of one anchor
+SPREAD = 250_000  # bytes of pieces whose windows are dealt one by one at once
 LANES = 2048
 NO_ID = -(1 << 63)
 
@@ -236,6 +238,59 @@ def local_repeats(rows: DataFrame) -> DataFrame:
         run, "id_key long, tag long, lo long, hi long, anchor long, piece binary")
 
 
+def crowded(pieces: DataFrame) -> DataFrame:
+    """Anchors whose pieces hold more than ``MERGE`` bytes: no more than the bytes of all pieces by ``MERGE``."""
+    size = F.sum(F.col("hi") - F.col("lo") + LENGTH)
+    return pieces.groupBy("anchor").agg(size.alias("size")).filter(F.col("size") > MERGE).select("anchor")
+
+
+def merge_windows(pieces: DataFrame) -> DataFrame:
+    """As ``merge_shards``, but each window is dealt by two hashes of its 100 bytes, so its anchor may be in any number of texts.
+
+    A string comes at most once from a shard and is compared with the one before it in the order, so nothing is held.
+    """
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("piece").to_pylist()
+            keys, tags, lo = (np.asarray(batch.column(c)) for c in ("id_key", "tag", "lo"))
+            for part in batched(list(range(len(texts))), [len(t) for t in texts], SPREAD):
+                size = np.array([len(texts[i]) for i in part])
+                counts = size - LENGTH + 1
+                piece = np.repeat(np.arange(len(part)), counts)
+                inner = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
+                data, at = np.frombuffer(b"".join([texts[i] for i in part]), np.uint8), (np.cumsum(size) - size)[piece] + inner
+                hashes = [Rolling(d).windows(LENGTH)[at].view(np.int64) for d in (data, data ^ np.uint8(0x5A))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (*hashes, keys[part][piece], tags[part][piece], lo[part][piece] + inner)], columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = None  # of the string that the last batch ended with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([np.asarray(batch.column(c)) for c in columns])
+            if first is not None:
+                rows = np.concatenate([first, rows], axis=1)
+            new = np.ones(rows.shape[1], bool)
+            new[1:] = (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)
+            start = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            late = (rows[2:] != rows[2:, start]).any(axis=0)
+            first = rows[:, start[-1:]]
+            keys, tags, lo = rows[2:, late]
+            order = np.lexsort((lo, tags, keys))
+            keys, tags, lo = keys[order], tags[order], lo[order]
+            text = np.zeros(len(lo), np.int64)
+            text[1:] = np.cumsum((keys[1:] != keys[:-1]) | (tags[1:] != tags[:-1]))
+            owner, begin, end = intervals(lo, text)
+            at = np.searchsorted(text << 32 | lo, owner << 32 | begin)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[at], tags[at], begin, end)], ["id_key", "tag", "lo", "hi"])
+
+    columns = ["strong", "check", "id_key", "tag", "lo"]
+    windows = pieces.select("id_key", "tag", "lo", "piece").mapInArrow(spread, ", ".join(f"{c} long" for c in columns))
+    return windows.repartition("strong").sortWithinPartitions(*columns).mapInArrow(
+        run, "id_key long, tag long, lo long, hi long")
+
+
 def merge_shards(pieces: DataFrame) -> DataFrame:
     """Byte ranges whose windows start earlier in another shard."""
     def merged(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -331,8 +386,12 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
               .groupBy("id_key").agg(F.collect_set("anchor").alias("anchors")))
     suspects = bucketed(rows.select("id_key", "tag", "data").join(wanted, "id_key"), "id_key")
     found = materialise(local_repeats(suspects), "repeats")
+    pieces = found.filter("anchor IS NOT NULL")
+    hot = materialise(crowded(pieces), "crowded")
     ranges = found.filter("anchor IS NULL").select("id_key", "tag", "lo", "hi").unionByName(
-        merge_shards(found.filter("anchor IS NOT NULL")))
+        merge_shards(pieces.join(F.broadcast(hot), "anchor", "left_anti")))
+    if not hot.isEmpty():
+        ranges = ranges.unionByName(merge_windows(pieces.join(F.broadcast(hot), "anchor", "left_semi")))
     ranges = ranges.groupBy("id_key").agg(F.collect_list(F.struct("tag", "lo", "hi")).alias("ranges"))
     cut = cut_out(suspects.select("id_key", "tag", "data").join(ranges, "id_key")).dropDuplicates(["id_key", "tag"])
     plain = rows.select("doc_id", "id_key", "tag", F.octet_length("data").cast("long").alias("n_bytes"),

@@ -130,6 +130,24 @@ def test_suffix(docs, none, monkeypatch, shard):
     assert suffix_dedup.suffix_dedup(none).count() == 0
 
 
+def test_suffix_deals_crowded_anchors_by_window(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SHARD", 4000)
+    monkeypatch.setattr(suffix_dedup, "MERGE", 3000)
+    monkeypatch.setattr(suffix_dedup, "SPREAD", 1000)
+    rng = random.Random(14)
+    phrase, around = "as seen in our footer, all rights reserved, call us", [prose(rng, 20) for _ in range(12)]
+    texts = [f"{prose(rng, 10)} {phrase} {prose(rng, 10)}" for _ in range(80)]
+    texts += [f"{rng.choice(around)} {phrase} {rng.choice(around)}" for _ in range(60)] + [texts[3], f"{phrase} {phrase} {phrase}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    held, whole = [], suffix_dedup.merge_shards
+    monkeypatch.setattr(suffix_dedup, "merge_shards", lambda pieces: held.extend(pieces.groupBy("anchor").agg(
+        F.sum(F.octet_length("piece")).alias("n")).collect()) or whole(pieces))
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.suffix_dedup(df).collect()}
+    gone = brute_removed([t.encode() for t in texts])
+    assert got == {i: (sum(g), len(re.findall(b"\1+", bytes(g)))) for i, g in enumerate(gone)}
+    assert held and max(r["n"] for r in held) <= 3000
+
+
 def test_suffix_array_and_prefixes():
     rng = random.Random(2)
     for text in (b"banana" * 30, bytes(rng.choices(b"ab", k=3000)), b"a" * 500, b"x", bytes(rng.choices(b"abcdefgh", k=5000))):
