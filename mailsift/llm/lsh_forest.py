@@ -6,7 +6,8 @@ with the target probability; pairs that already share a class are not looked at
 first compared with the node's hub only, so a large group of similar texts costs about one comparison per text and tree.
 At the last depth, texts of different classes that share a node are compared where they can reach the threshold: one of
 their rarest shingles must be shared. So no link between different texts is lost that the forest has found, while texts
-that merely hold the same common passage are not paired.
+that merely hold the same common passage are not paired. When the classes are known, the links of each text are counted
+over all texts of its class, block by block.
 
 Identical texts are one node of the graph, told by a 64-bit hash. Only candidates' texts are shuffled.
 """
@@ -29,6 +30,9 @@ DEPTH = 8
 RECALL = 0.99999
 BLOCK = 1_000_000  # bytes whose shingles are found at once
 COUNTED = 1 << 20  # hash buckets in which shingles are counted to put the rare ones first
+MEMBERS = 512  # texts of a class in a block whose links are counted at once
+MEMBER_BYTES = 4_000_000  # and their bytes
+COLUMNS = 8192  # shingles of a block in one product of matrices
 NO_ID = -(1 << 63)
 
 
@@ -240,9 +244,86 @@ def across_classes(open_: DataFrame, texts: DataFrame, threshold: float) -> Data
     return pairs.filter(F.arrays_overlap("shorts_a", "shorts_b")).select("a", "b")
 
 
+def linked(block: pa.Table, cross: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and the number of their links to others: within the block, or of its first part (side 0) with its second."""
+    nodes, sides = np.asarray(block.column("node")), np.asarray(block.column("side"))
+    grams, owners = [], []
+    texts = block.column("text").to_pylist()
+    for part in batched(list(range(len(texts))), [len(t) for t in texts], BLOCK):
+        hashes, counts = shingles([texts[i] for i in part])
+        owner = np.repeat(np.array(part), counts)
+        order = np.lexsort((hashes, owner))
+        hashes, owner = hashes[order], owner[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+        grams.append(hashes[new])
+        owners.append(owner[new])
+    gram, owner = np.concatenate(grams), np.concatenate(owners)
+    size = np.bincount(owner, minlength=len(nodes))
+    _, gram, often = np.unique(gram, return_inverse=True, return_counts=True)
+    common = often > 1  # what one text holds alone is shared with none
+    place = np.cumsum(common) - 1
+    gram, owner = place[gram[common[gram]]], owner[common[gram]]
+    order = np.argsort(gram, kind="stable")
+    gram, owner = gram[order], owner[order]
+    left = np.flatnonzero(sides == 0) if cross else np.arange(len(nodes))
+    right = np.flatnonzero(sides == 1) if cross else left
+    both = np.zeros((len(left), len(right)), np.float32)
+    width = int(common.sum())
+    for low in range(0, width, COLUMNS):
+        i, j = np.searchsorted(gram, [low, low + COLUMNS])
+        held = np.zeros((len(nodes), min(COLUMNS, width - low)), np.float32)
+        held[owner[i:j], gram[i:j] - low] = 1
+        both += held[left] @ held[right].T
+    near = both >= threshold * (size[left][:, None] + size[right][None, :] - both.astype(float)) - 1e-9
+    if not cross:
+        np.fill_diagonal(near, False)
+        return nodes, near.sum(axis=1)
+    return np.concatenate([nodes[left], nodes[right]]), np.concatenate([near.sum(axis=1), near.sum(axis=0)])
+
+
+def degrees(classes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """node and n_links, how many other texts of its class are similar to it at or above the threshold; exact.
+
+    The texts of a class are dealt into blocks by a hash, and a task gets two blocks and finds all their similarities as
+    products of matrices; pairs are counted there and are never rows. A link of the forest lies within a class.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            block = pa.Table.from_batches(held)
+            nodes, n = linked(block, block.column("x")[0].as_py() != block.column("y")[0].as_py(), threshold)
+            return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(n.astype(np.int64))], ["node", "n"])
+        held, last = [], None
+        for batch in batches:
+            keys = np.stack([np.asarray(batch.column(c)) for c in ("cls", "x", "y")], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for i, j in zip(cuts, cuts[1:]):
+                if i == j:
+                    continue
+                if held and last != tuple(keys[i].tolist()):
+                    yield counted(held)
+                    held = []
+                last = tuple(keys[i].tolist())
+                held.append(batch.slice(i, j - i))
+        if held:
+            yield counted(held)
+
+    members = materialise(classes.join(texts, "node").select("cls", "node", "text"), "members")
+    sizes = members.groupBy("cls").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(
+        F.sum(F.octet_length("text")) / MEMBER_BYTES)).cast("long").alias("blocks")).filter("blocks > 1")
+    blocks = F.coalesce("blocks", F.lit(1).cast("long"))
+    own = members.join(F.broadcast(sizes), "cls", "left").withColumn("blocks", blocks).withColumn(
+        "own", F.pmod(F.xxhash64("node", F.lit(5)), "blocks"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+        "cls", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node",
+        (F.col("own") > F.col("other")).cast("int").alias("side"), "text")
+    pairs = dealt.repartition("cls", "x", "y").sortWithinPartitions("cls", "x", "y")
+    return pairs.mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n_links"))
+
+
 def near_members(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH,
-                 recall: float = RECALL) -> tuple[DataFrame, DataFrame | None]:
-    """One row per document - doc_id, node, cls - and the verified links, if there are any."""
+                 recall: float = RECALL) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """One row per document - doc_id, node, cls -, node and cls of the linked texts, if there are any, and the texts."""
     signed = materialise(signatures(docs, trees, depth, depths(trees, depth, threshold, recall)), "signatures")
     forest = candidates(signed)
     picked = (signed.select("node", "id_key").join(forest.select("node").distinct(), "node")
@@ -272,25 +353,23 @@ def near_members(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TRE
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             classes = components(links)
-    return classed(signed.select("doc_id", "node"), classes, "node", "cls"), links
+    return classed(signed.select("doc_id", "node"), classes, "node", "cls"), classes, texts
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH,
                     recall: float = RECALL) -> DataFrame:
     """One row per document: doc_id, class_id (least doc_id of its class), class_size, n_links.
 
-    Classes are the connected components of similarity at or above the threshold. n_links counts the verified links
-    of the document's text to other texts: links to hubs, and links between classes; a class of similar texts is held
-    together by these without expanding all pairs. Null and empty texts are one class; they have no links. Rows that
+    Classes are the connected components of similarity at or above the threshold. n_links counts the other
+    texts that are similar to the document's text; all pairs within a class are compared. Null and empty texts are one class; they have no links. Rows that
     repeat an id are listed each. A class whose ids are all null has a null class_id. An empty table gives no rows.
     """
-    members, links = near_members(docs, threshold, trees, depth, recall)
+    members, classes, texts = near_members(docs, threshold, trees, depth, recall)
     size = F.count("*").alias("class_size")
-    if links is None:
+    if classes is None:
         members = members.withColumn("n_links", F.lit(0).cast("long"))
     else:
-        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-        members = members.join(degree, "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+        members = members.join(degrees(classes, texts, threshold), "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
     heads = members.groupBy("cls").agg(F.min("doc_id").alias("class_id"), size)
     return members.join(heads, "cls").select("doc_id", "class_id", "class_size", "n_links")
 

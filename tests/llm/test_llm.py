@@ -202,6 +202,30 @@ def test_forest(spark, docs, none):
     assert lsh_forest.depths()[-1] < lsh_forest.DEPTH
 
 
+@pytest.mark.parametrize("members", [512, 7])
+def test_forest_counts_every_link(spark, monkeypatch, members):
+    monkeypatch.setattr(lsh_forest, "MEMBERS", members)
+    monkeypatch.setattr(lsh_forest, "COLUMNS", 100)
+    rng = random.Random(15)
+    base = [prose(rng, 110) for _ in range(3)]
+    texts = [*base, base[0], base[1] + " a b", "", None, prose(rng, 30)]
+    for k in range(45):  # of a cloud, some are near to each other and some only to the original
+        words = base[k % 2].split()
+        for _ in range(rng.randrange(1, 4)):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(9999)}"
+        texts.append("  ".join(words) if k % 9 == 0 else " ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+
+    def sh(t):
+        w = (t or "").split()
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    sets = {t: sh(t) for t in texts}
+    want = {i: sum(u != t and bool(sets[t]) and len(sets[t] & sets[u]) >= 0.8 * len(sets[t] | sets[u]) for u in sets)
+            for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["n_links"] for r in lsh_forest.near_duplicates(df).collect()} == want
+    assert max(want.values()) > min(n for n in want.values() if n) > 0
+
+
 def test_forest_keeps_one_row_of_each_class(spark):
     rng = random.Random(12)
     first, second, third, fourth, fifth = (prose(rng, 60) for _ in range(5))
