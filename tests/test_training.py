@@ -41,3 +41,33 @@ def test_unknown_names(docs):
 def test_corpus_is_balanced_and_stable(docs):
     assert docs.filter(F.col("label") == "spam").count() == 100
     assert docs.filter(F.col("text").contains("{")).count() == 0
+
+
+def test_registered_queries_train_with_the_defaults(spark, monkeypatch):
+    from mailsift.plans import models as M
+
+    class Called(Exception):
+        pass
+    calls = []
+
+    def called(*args, **options):
+        calls.append((args[1:], options))
+        raise Called
+    monkeypatch.setattr(M.P, "run", called)
+    monkeypatch.setattr(M.P, "prepare", lambda docs: P.Prepared(None, None, 0, None, None))
+    monkeypatch.setattr(M.TR, "tune_all", called)
+    monkeypatch.setattr(M.TR, "train_ensemble", called)
+    for job in (M.train_svm, M.train_rf, M.train_gbt, M.train_all, M.train, M.tune, M.stack, M.retrain):
+        with pytest.raises(Called):
+            job(spark, "/root/testdata/sf0.001")
+    assert calls == [((), {"names": ["svm"]}), ((), {"names": ["random_forest"]}), ((), {"names": ["gradient_boosting"]}), ((), {}),
+                     ((), {"ensemble": "voting"}), ((), {}), (("stacking",), {}), ((), {})]
+
+
+def test_tune_lists_the_best_of_each_model(spark, monkeypatch):
+    from mailsift.plans import models as M
+    rows = spark.range(3)
+    monkeypatch.setattr(M.P, "prepare", lambda docs: P.Prepared(None, None, 0, rows, None))
+    monkeypatch.setattr(M.TR, "tune", lambda rows, name, **options: ({"C": 0.5, "folds": 3}, 0.9, options))
+    got = {r["model"]: (r["n_rows"], r["parameters"], r["macro_f1"]) for r in M.tune(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {name: (3, {"C": "0.5", "folds": "3"}, 0.9) for name in TR.SPACES}
