@@ -1,8 +1,9 @@
 """Near-duplicate join: MinHash LSH forest, then exact Jaccard similarity of five-word shingles.
 
 Each text has one label per tree, a sequence of minima; texts that agree on a prefix of a label meet in a node of the
-tree's trie. Matching starts at the full depth and shortens the prefix until texts at the threshold meet in some tree
-with the target probability; pairs that already share a class are not looked at again. Within a node, texts are
+tree's trie. Two fixed depths replace the adaptive descent of a forest: the full one, and the first at which texts at the
+threshold meet in some tree with the target probability; no prefix is shortened by what was matched. At the second depth,
+pairs that already share a class are not looked at again to find classes. Within a node, texts are
 first compared with the node's hub only, so a large group of similar texts costs about one comparison per text and tree.
 At the last depth, texts of different classes that share a node are compared where they can reach the threshold: one of
 their rarest shingles must be shared. So no link between different texts is lost that the forest has found, while texts
