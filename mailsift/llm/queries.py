@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsift.llm import (bpe_tree, exact_dedup, hmm_lm, langid_ecoc, lsh_forest, packing, pii_weak, quality_llr, sql,
-                          suffix_dedup, warc_fixity)
+from mailsift.llm import (bpe_tree, exact_dedup, glr_repair, hmm_lm, langid_ecoc, lsh_forest, packing, pii_weak,
+                          quality_llr, sql, suffix_dedup, warc_fixity)
 from mailsift.llm.common import documents, id_bucket
 from mailsift.plans.catalog import query
 
@@ -65,3 +65,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return hmm_lm.score_texts(docs, id_bucket(docs["doc_id"], 7) != 2)
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return glr_repair.digests(glr_repair.repair(glr_repair.damage(conversations)))
