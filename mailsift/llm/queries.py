@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsift.llm import (bpe_tree, exact_dedup, glr_repair, hard_negatives, hmm_lm, langid_ecoc, lsh_forest, packing,
-                          pii_weak, quality_llr, sql, suffix_dedup, warc_fixity)
+from mailsift.llm import (bpe_tree, exact_dedup, glr_repair, hard_negatives, hmm_lm, html_boost, langid_ecoc, lsh_forest,
+                          packing, pii_weak, quality_llr, sql, suffix_dedup, warc_fixity)
 from mailsift.llm.common import documents, id_bucket
 from mailsift.plans.catalog import query
 
@@ -78,3 +78,9 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = hard_negatives.usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", "label")
     moved = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(rows.withColumn("label", moved), F.col("id") % 100 == 0)
+
+
+@query("op11_main_text")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return html_boost.extract(pages.select("page_id", "url", "html"))
