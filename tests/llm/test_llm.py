@@ -459,6 +459,31 @@ def test_fixity_reports_every_record_of_a_repeated_id(spark):
     assert all(r["leaf"] is not None for r in got)
 
 
+def test_fixity_audits_records_without_an_id(spark):
+    schema = "page_id long, url string, html string, file long, side int, leaf long, digest string"
+    rows = [(i, "u", f"page {i}", 1, 1, 1, "x") for i in range(50)] + [(None, "u", f"nameless {i % 7}", 1, 1, 1, "x") for i in range(30)]
+    gone = [r for r in rows if r[2] != "nameless 3"] + [(None, "u", "nameless new", 1, 1, 1, "x")]
+    a, b = (spark.createDataFrame(r, schema) for r in (rows, gone))
+    got = counted((r["page_id"], r["status"]) for r in warc_fixity.audit(a, b).collect())
+    assert got == {(None, "missing"): sum(r[2] == "nameless 3" for r in rows), (None, "extra"): 1}
+    assert warc_fixity.audit(a, a).count() == 0
+
+
+def test_fixity_of_a_very_frequent_id(spark):
+    n = warc_fixity.CROWDED * warc_fixity.FILE_RECORDS + 500
+    pages = spark.range(n).selectExpr("IF(id < 100, id, 7L) AS page_id", "'u' AS url", "concat('page ', id) AS html")
+    bad = pages.withColumn("html", F.when(F.col("html") == "page 9000", "changed").otherwise(F.col("html"))).filter(
+        "html NOT IN ('page 12000', 'page 50')")
+    got = counted((r["page_id"], r["status"]) for r in warc_fixity.audit(pages, bad).collect())
+    assert got == {(7, "corrupt"): 1, (7, "missing"): 1, (50, "missing"): 1}
+
+
+def test_fixity_of_very_long_records(spark):
+    pages = spark.createDataFrame([(i, "u", "x" * (1 + 400_000 * (i % 3))) for i in range(30)], "page_id long, url string, html string")
+    bad = pages.withColumn("html", F.when(F.col("page_id") == 20, F.concat("html", F.lit("y"))).otherwise(F.col("html")))
+    assert [(r["page_id"], r["status"]) for r in warc_fixity.audit(pages, bad).collect()] == [(20, "corrupt")]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     sf = "/root/testdata/sf0.001"
