@@ -40,8 +40,9 @@ LOOSE = [
     (2, re.compile(r"(?<![0-9])[0-9]{4}(?:[ .-]?[0-9]{4}){2}[ .-]?[0-9]{1,7}(?![0-9])")),
     (3, re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}(?![0-9])")),
     (4, re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")),
-    (4, re.compile(r"(?<![A-Za-z0-9])(?:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}"
-                   r"[\"']?(?:eyJ[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){0,3}\.[A-Za-z0-9_-]+|[A-Za-z0-9+/_-]{8,}={0,2})[\"']?", re.I)),
+    # The value runs to its closing quote or to white space, whatever marks it holds.
+    (4, re.compile(r"(?<![A-Za-z0-9])(?:password|passwd|pwd|token|secret|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}"
+                   r"(?:\"[^\s\"]{8,}\"?|'[^\s']{8,}'?|[^\s\"'][^\s]{7,})", re.I)),
 ]
 GATE = re.compile(r"[0-9]|[(\[]\s?at\s?[)\]]|AKIA|ASIA|password|passwd|pwd|token|secret|api[_-]?key", re.I)
 SECRET_LEAST = 8  # characters of a secret
@@ -285,8 +286,10 @@ def find_pii(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
                     base = written(own + more)
                 spans.append(base)
             names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(spans, pa.string())], [*names, "spans"])
-    return scanned.mapInArrow(run, SCAN.split(", base string")[0] + ", spans string")
+            n_spans = pa.array([s.count(",") + 1 if s else 0 for s in spans], pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(spans, pa.string()), n_spans],
+                                             [*names, "spans", "n_spans"])
+    return scanned.mapInArrow(run, SCAN.split(", base string")[0] + ", spans string, n_spans long")
 
 
 def redact(docs: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -428,6 +428,50 @@ def test_unrelated_digits_make_no_candidates():
         assert bool(found) == ("nothing" not in text)
 
 
+def test_secrets_hold_any_mark(spark):
+    import string
+    marks = [m for m in string.punctuation if m not in "\"'"]
+    values = [f"abcd1234{m}rest{m}9Z" for m in marks] + ["Correct.Horse!Battery9", "abcdefgh1!secretrest", "abcd1234efgh.ijkl$mnop"]
+    texts = [f"so {key}{value}{q} end" for value in values
+             for key, q in (("password: ", ""), ("token=", ""), ('{"secret": "', '"'), ("api_key='", "'"))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for text, row in zip(texts, pii_weak.redact(df).orderBy("doc_id").collect()):
+        assert "[SECRET]" in row["text"] and "rest" not in row["text"] and "1234" not in row["text"], (text, row["text"])
+    found = pii_weak.find_pii(df).collect()
+    assert all(r["n_spans"] == len(r["spans"].split(",")) for r in found)
+
+
+def test_a_bad_labeler_is_trusted_less():
+    """Nine labelers' worth of agreement on 400 candidates; one labeler votes by chance and must get the least say."""
+    rng = np.random.default_rng(3)
+    truth = rng.random(400) < 0.5
+    votes = np.column_stack([np.where(rng.random(400) < 0.92, truth, ~truth) for _ in range(4)] + [rng.random(400) < 0.5]).astype(int)
+    model = pii_weak.LabelModel.fit(np.zeros(400, int), votes, np.ones(400))
+    edge = np.log(model.yes[0, :, 1] / model.yes[0, :, 0])
+    assert edge[4] < 0.3 * edge[:4].min()
+    assert ((model.likely(np.zeros(400, int), votes) > 0.5) == truth).mean() > 0.97
+
+
+def test_expectation_maximisation_equals_a_plain_version():
+    rng = np.random.default_rng(5)
+    votes = rng.integers(-1, 2, (40, 3))
+    counts = rng.integers(1, 5, 40).astype(float)
+    got = pii_weak.LabelModel.fit(np.zeros(40, int), votes, counts, rounds=4)
+    prior, yes = 0.5, [[0.3, 0.7] for _ in range(3)]
+    for _ in range(4):
+        p = []
+        for row in votes:
+            like = [1 - prior, prior]
+            for j, v in enumerate(row):
+                like = [like[c] * (1 if v < 0 else yes[j][c] if v else 1 - yes[j][c]) for c in (0, 1)]
+            p.append(like[1] / sum(like))
+        prior = (sum(c * q for c, q in zip(counts, p)) + 5) / (sum(counts) + 10)
+        yes = [[(sum(c * w for c, w, v in zip(counts, [1 - q if k == 0 else q for q in p], votes[:, j]) if v == 1) + (6, 14)[k]) /
+                (sum(c * w for c, w, v in zip(counts, [1 - q if k == 0 else q for q in p], votes[:, j]) if v >= 0) + 20) for k in (0, 1)]
+               for j in range(3)]
+    assert np.isclose(got.prior[0], prior) and np.allclose(got.yes[0], yes)
+
+
 def test_fixity(spark):
     pages = spark.createDataFrame([(i, f"u{i}", f"page {i} " * 400) for i in range(300)] + [(None, "u", "h"), (5, None, None)],
                                   "page_id long, url string, html string")
