@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import math
 import random
+import weakref
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes,
-                                       RandomForestClassifier)
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import MaxAbsScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from mailsift.operators import boosting as B, linear as L, passes
 from mailsift.operators.ensemble import soft_vote
 from mailsift.session import materialise
 
@@ -26,8 +27,10 @@ DEFAULTS: dict[str, dict] = {
     "logistic_regression": {"C": 5.0, "max_iter": 1000},
     "svm": {"C": 1.0, "max_iter": 10_000, "folds": 3},
     "random_forest": {"n_estimators": 200, "max_depth": 30, "min_samples_leaf": 2},
-    "gradient_boosting": {"max_iter": 200, "learning_rate": 0.1, "max_depth": 6},
+    "gradient_boosting": {"max_iter": 200, "learning_rate": 0.1, "max_leaf_nodes": 63, "l2_regularization": 0.0,
+                          "min_samples_leaf": 20},
 }
+IN_PASSES = ("svm", "gradient_boosting")  # fitted by passes over row blocks, the others by Spark ML
 
 
 def with_target(rows: DataFrame) -> DataFrame:
@@ -42,49 +45,82 @@ def check_two_classes(rows: DataFrame) -> int:
     return c["n"]
 
 
-def build(name: str, n_rows: int, params: dict | None = None) -> Estimator:
-    """Unfitted estimator. ``C`` weighs the summed loss, ``regParam`` the mean loss, hence ``1 / (C n)``."""
+def check_name(name: str) -> None:
     if name not in DEFAULTS:
         raise ValueError(f"unknown model '{name}', choose from {sorted(DEFAULTS)}")
+
+
+def build(name: str, n_rows: int, params: dict | None = None) -> Estimator:
+    """Unfitted Spark ML estimator. ``C`` weighs the summed loss, ``regParam`` the mean loss, hence ``1 / (C n)``."""
+    check_name(name)
     p = {**DEFAULTS[name], **(params or {})}
     common = {"featuresCol": "features", "labelCol": TARGET}
-    scaled = {**common, "featuresCol": "scaled"}
-    scaler = MaxAbsScaler(inputCol="features", outputCol="scaled")
     if name == "naive_bayes":
         return NaiveBayes(smoothing=p["alpha"], **common)
     if name == "logistic_regression":
         return LogisticRegression(regParam=1 / (p["C"] * n_rows), maxIter=p["max_iter"], standardization=False, **common)
-    if name == "svm":
-        return LinearSVC(regParam=1 / (p["C"] * n_rows), maxIter=p["max_iter"], standardization=False, **common)
     if name == "random_forest":
-        return Pipeline(stages=[scaler, RandomForestClassifier(
-            numTrees=p["n_estimators"], maxDepth=p["max_depth"], minInstancesPerNode=p["min_samples_leaf"],
+        scaled = {**common, "featuresCol": "scaled"}
+        return Pipeline(stages=[MaxAbsScaler(inputCol="features", outputCol="scaled"), RandomForestClassifier(
+            numTrees=p["n_estimators"], maxDepth=min(p["max_depth"] or 30, 30), minInstancesPerNode=p["min_samples_leaf"],
             featureSubsetStrategy=p.get("max_features", "auto"), seed=SEED, **scaled)])
-    return Pipeline(stages=[scaler, GBTClassifier(
-        maxIter=p["max_iter"], stepSize=p["learning_rate"], maxDepth=p["max_depth"], seed=SEED, **scaled)])
+    raise ValueError(f"'{name}' is fitted by passes over row blocks")
+
+
+def job(name: str, params: dict | None, n_features: int, without: list[tuple[str, int]], calibrated: bool = True) -> passes.Job:
+    """A fit over row blocks, of the rows outside the folds ``without``."""
+    check_name(name)
+    p = {**DEFAULTS[name], **(params or {})}
+    if name == "naive_bayes":
+        return L.BayesJob(p["alpha"], n_features, without)
+    if name == "logistic_regression":
+        return L.LinearJob("logistic", p["C"], p["max_iter"], n_features, without)
+    if name == "svm" and calibrated:
+        return L.CalibratedJob(p["C"], p["max_iter"], n_features, without, f"f{p['folds']}", p["folds"])
+    if name == "svm":
+        return L.LinearJob("squared_hinge", p["C"], p["max_iter"], n_features, without)
+    if name == "random_forest":
+        return B.ForestJob(p, without, n_features, SEED)
+    return B.BoostJob(p, without)
+
+
+_blocks: weakref.WeakKeyDictionary[DataFrame, dict] = weakref.WeakKeyDictionary()
+
+
+def blocks_of(rows: DataFrame, key: str = "doc_id", folds: tuple[int, ...] = (), block_rows: int = passes.BLOCK_ROWS) -> passes.Blocks:
+    """The row blocks of a training table, built once for all models fitted on it."""
+    known = _blocks.setdefault(rows, {})
+    wanted = tuple(sorted({3, 5, *folds}))
+    if (wanted, block_rows) not in known:
+        known[wanted, block_rows] = passes.build(rows, TARGET, {f"f{n}": fold_of(key, n) for n in wanted}, block_rows=block_rows)
+    return known[wanted, block_rows]
+
+
+def _usable(fitted, blocks: passes.Blocks):
+    """A fitted model that transforms tables of vectors."""
+    return B.TreeModel.of(fitted, blocks) if isinstance(fitted, B.Model) else fitted
 
 
 class Scorer:
-    """A fitted model with, for margins, the fitted map to probabilities."""
+    """A fitted model."""
 
-    def __init__(self, model: Model, calibration: Model | None = None):
-        self.model, self.calibration = model, calibration
+    def __init__(self, model: Model):
+        self.model = model
 
     def score(self, rows: DataFrame) -> DataFrame:
         """Rows with ``p_spam``, ``confidence`` and ``prediction`` (spam or ham)."""
         out = self.model.transform(rows)
-        if self.calibration is not None:
-            out = self.calibration.transform(_margin_vector(out).drop("prediction", "rawPrediction", "probability"))
         p = vector_to_array("probability")[1]
         kept = out.select(*rows.columns, p.alias("p_spam"))
         return kept.withColumns({
             "confidence": F.bround(F.greatest("p_spam", 1 - F.col("p_spam")), 3),
             "prediction": F.when(F.col("p_spam") > 0.5, "spam").otherwise("ham")})
 
-    def save(self, path: str) -> None:
-        self.model.write().overwrite().save(f"{path}/model")
-        if self.calibration is not None:
-            self.calibration.write().overwrite().save(f"{path}/calibration")
+    def save(self, path: str, spark) -> None:
+        if isinstance(self.model, (B.TreeModel, L.LinearModel)):
+            self.model.save(f"{path}/model", spark)
+        else:
+            self.model.write().overwrite().save(f"{path}/model")
 
 
 def margin_confidence(raw: Column) -> Column:
@@ -92,72 +128,67 @@ def margin_confidence(raw: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-F.abs(raw)))
 
 
-def _margin_vector(scored: DataFrame) -> DataFrame:
-    margin = scored.withColumn("margin", vector_to_array("rawPrediction")[1])
-    return VectorAssembler(inputCols=["margin"], outputCol="margins").transform(margin)
-
-
 def fold_of(key: str, n: int, seed: int = SEED) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(n)).cast("int")
 
 
-def _out_of_fold(rows: DataFrame, key: str, folds: int, fit: Callable[[DataFrame], Model],
-                 columns: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Predictions for every row by the model that was trained without its fold."""
-    tagged = rows.withColumn("_fold", fold_of(key, folds))
-    parts = []
-    for i in range(folds):
-        model = fit(tagged.filter(F.col("_fold") != i))
-        parts.append(columns(model.transform(tagged.filter(F.col("_fold") == i))))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
 def train(rows: DataFrame, name: str, params: dict | None = None, key: str = "doc_id") -> Scorer:
     """Fit a model on ``key, features, target``. Margins of the SVM are calibrated on held-out folds."""
-    n = check_two_classes(rows)
-    estimator = build(name, n, params)
-    model = estimator.fit(rows)
-    if name != "svm":
-        return Scorer(model)
-    folds = {**DEFAULTS["svm"], **(params or {})}["folds"]
-    held_out = _out_of_fold(rows, key, folds, estimator.fit,
-                            lambda df: _margin_vector(df).select("margins", TARGET))
-    platt = LogisticRegression(featuresCol="margins", labelCol=TARGET)
-    return Scorer(model, platt.fit(materialise_margins(held_out)))
+    check_name(name)
+    if name in IN_PASSES:
+        return train_in_passes(rows, [name], {name: params or {}}, key)[name]
+    return Scorer(build(name, check_two_classes(rows), params).fit(rows))
 
 
-def materialise_margins(held_out: DataFrame) -> DataFrame:
-    """Held-out margins are read in every iteration, so they are stored once, as plain numbers."""
-    plain = held_out.select(vector_to_array("margins")[0].alias("margin"), TARGET)
-    stored = materialise(plain, "margins")
-    return VectorAssembler(inputCols=["margin"], outputCol="margins").transform(stored)
+def train_in_passes(rows: DataFrame, names: list[str], params: dict[str, dict] | None = None, key: str = "doc_id") -> dict[str, Scorer]:
+    """Several models fitted in common passes."""
+    check_two_classes(rows)
+    params = params or {}
+    folds = tuple(params.get(n, {}).get("folds", 3) for n in names if n == "svm")
+    blocks = blocks_of(rows, key, folds)
+    fitted = passes.run(blocks, [job(n, params.get(n), blocks.n_features, []) for n in names])
+    return {n: Scorer(_usable(f, blocks)) for n, f in zip(names, fitted)}
 
 
 def load(path: str, name: str) -> Scorer:
-    kinds = {"naive_bayes": "NaiveBayesModel", "logistic_regression": "LogisticRegressionModel", "svm": "LinearSVCModel"}
     from pyspark.ml import classification as C
-    model = getattr(C, kinds[name]).load(f"{path}/model") if name in kinds else PipelineModel.load(f"{path}/model")
-    return Scorer(model, C.LogisticRegressionModel.load(f"{path}/calibration") if name == "svm" else None)
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    if name in IN_PASSES:
+        kind = L.LinearModel if name == "svm" else B.TreeModel
+        return Scorer(kind.load(f"{path}/model", spark))
+    kinds = {"naive_bayes": C.NaiveBayesModel, "logistic_regression": C.LogisticRegressionModel, "random_forest": PipelineModel}
+    return Scorer(kinds[name].load(f"{path}/model"))
 
 
 def train_all(rows: DataFrame, names: list[str] | None = None, params: dict[str, dict] | None = None,
-              model_dir: str | None = None) -> dict[str, Scorer]:
-    """Every model by name; one that fails to train is left out with a warning."""
+              model_dir: str | None = None, failed: dict[str, str] | None = None) -> dict[str, Scorer]:
+    """Every model by name; one that fails to train is left out with a warning and named in ``failed``."""
     import warnings
-    trained = {}
-    for name in names or list(DEFAULTS):
+    names, params = names or list(DEFAULTS), params or {}
+    for name in names:
+        check_name(name)
+    trained: dict[str, Scorer] = {}
+
+    def attempt(some: list[str], fit: Callable[[], dict[str, Scorer]]) -> None:
         try:
-            trained[name] = train(rows, name, (params or {}).get(name))
+            trained.update(fit())
         except ValueError:
             raise
         except Exception as exc:
-            warnings.warn(f"skipping {name}: {exc}")
-            continue
+            warnings.warn(f"skipping {', '.join(some)}: {exc}")
+            if failed is not None:
+                failed.update({name: f"{type(exc).__name__}: {exc}"[:500] for name in some})
+    common = [n for n in names if n in IN_PASSES]
+    for name in names:
+        if name not in IN_PASSES:
+            attempt([name], lambda name=name: {name: train(rows, name, params.get(name))})
+    if common:
+        attempt(common, lambda: train_in_passes(rows, common, params))
+    trained = {n: trained[n] for n in names if n in trained}
+    for name, model in trained.items():
         if model_dir:
-            trained[name].save(f"{model_dir}/{name}")
+            model.save(f"{model_dir}/{name}", rows.sparkSession)
     return trained
 
 
@@ -182,41 +213,62 @@ SPACES: dict[str, Callable[[random.Random], dict]] = {
     "naive_bayes": lambda r: {"alpha": _log_uniform(r, 1e-3, 10)},
     "logistic_regression": lambda r: {"C": _log_uniform(r, 0.01, 100), "max_iter": r.choice([500, 1000])},
     "svm": lambda r: {"C": _log_uniform(r, 0.01, 100), "max_iter": 10_000},
-    "random_forest": lambda r: {"n_estimators": r.randrange(100, 500), "max_depth": r.choice([10, 20, 30]),
+    "random_forest": lambda r: {"n_estimators": r.randrange(100, 500), "max_depth": r.choice([10, 20, 30, None]),
                                 "min_samples_leaf": r.randrange(1, 10), "max_features": r.choice(["sqrt", "log2"])},
     "gradient_boosting": lambda r: {"max_iter": r.randrange(100, 400), "learning_rate": _log_uniform(r, 0.01, 0.3),
-                                    "max_depth": r.randrange(5, 8)},
+                                    "max_leaf_nodes": r.randrange(31, 127), "l2_regularization": _log_uniform(r, 1e-4, 1.0)},
 }
 
 
-def macro_f1(predictions: DataFrame) -> float:
-    """Mean F1 of both classes."""
-    ev = MulticlassClassificationEvaluator(labelCol=TARGET, predictionCol="prediction", metricName="fMeasureByLabel")
-    return sum(ev.evaluate(predictions, {ev.metricLabel: c}) for c in (0.0, 1.0)) / 2
+def macro_f1(matrix: np.ndarray) -> float:
+    """Mean F1 of both classes from rows by true and predicted class; a class without rows and predictions counts as zero."""
+    tn, fp, fn, tp = (float(x) for x in matrix)
+    return sum(2 * hit / (2 * hit + fp + fn) if hit + fp + fn else 0.0 for hit in (tn, tp)) / 2
+
+
+def search(rows: DataFrame, names: list[str], folds: int = 5, draws: int = 20, seed: int = SEED, key: str = "doc_id",
+           fixed: dict | None = None, block_rows: int = passes.BLOCK_ROWS) -> dict[str, list[tuple[dict, list[float]]]]:
+    """Macro F1 on every fold for every draw of parameters. All draws and folds of all models advance in common passes."""
+    for name in names:
+        check_name(name)
+    check_two_classes(rows)
+    blocks, tag = blocks_of(rows, key, (folds,), block_rows), f"f{folds}"
+    drawn, jobs = {}, []
+    for name in names:
+        r = random.Random(seed)
+        drawn[name] = [{**SPACES[name](r), **(fixed or {})} for _ in range(draws)]
+        if name == "naive_bayes":
+            jobs.append(L.BayesSearch([p["alpha"] for p in drawn[name]], tag, folds))
+        else:
+            jobs += [L.Trial(job(name, p, blocks.n_features, [(tag, k)], calibrated=False), tag, k)
+                     for p in drawn[name] for k in range(folds)]
+    found = iter(passes.run(blocks, jobs))
+    out = {}
+    for name in names:
+        matrices = next(found) if name == "naive_bayes" else [[next(found) for _ in range(folds)] for _ in range(draws)]
+        out[name] = [(p, [macro_f1(m) for m in own]) for p, own in zip(drawn[name], matrices)]
+    return out
+
+
+def best_of(trials: list[tuple[dict, list[float]]]) -> tuple[dict, float]:
+    """The first draw with the best mean."""
+    params, scores = max(trials, key=lambda t: sum(t[1]) / len(t[1]))
+    return params, sum(scores) / len(scores)
 
 
 def tune(rows: DataFrame, name: str, folds: int = 5, draws: int = 20, seed: int = SEED, key: str = "doc_id",
          fixed: dict | None = None) -> tuple[dict, float, Scorer]:
     """Random search by cross-validated macro F1, refitted on all rows: (parameters, score, model)."""
-    if name not in SPACES:
-        raise ValueError(f"unknown model '{name}'")
-    r = random.Random(seed)
-    tagged = with_target(rows).withColumn("_fold", fold_of(key, folds))
-    n = check_two_classes(tagged)
-    best: tuple[float, dict] | None = None
-    for _ in range(draws):
-        params = {**SPACES[name](r), **(fixed or {})}
-        estimator, total = build(name, n, params), 0.0
-        for i in range(folds):
-            model = estimator.fit(tagged.filter(F.col("_fold") != i))
-            total += macro_f1(model.transform(tagged.filter(F.col("_fold") == i)))
-        if best is None or total / folds > best[0]:
-            best = (total / folds, params)
-    return best[1], round(best[0], 4), train(with_target(rows), name, best[1], key)
-
-
-def tune_all(rows: DataFrame, names: list[str] | None = None, **options) -> dict[str, tuple[dict, float, Scorer]]:
-    return {name: tune(rows, name, **options) for name in names or list(SPACES)}
+    return tune_all(rows, [name], folds=folds, draws=draws, seed=seed, key=key, fixed=fixed)[name]
+
+
+def tune_all(rows: DataFrame, names: list[str] | None = None, refit: bool = True, key: str = "doc_id",
+             **options) -> dict[str, tuple[dict, float, Scorer | None]]:
+    names = names or list(SPACES)
+    rows = rows if TARGET in rows.columns else with_target(rows)
+    best = {name: best_of(trials) for name, trials in search(rows, names, key=key, **options).items()}
+    models = train_all(rows, names, {n: p for n, (p, _) in best.items()}) if refit else {}
+    return {name: (params, round(score, 4), models.get(name)) for name, (params, score) in best.items()}
 
 
 # --- ensembles ----------------------------------------------------------------------
@@ -250,17 +302,24 @@ def _wide(scores: DataFrame, names: list[str], *keep: str) -> DataFrame:
 
 
 def train_ensemble(rows: DataFrame, kind: str = "voting", names: list[str] | None = None,
-                   params: dict[str, dict] | None = None, folds: int = 5, key: str = "doc_id") -> Voting | Stacking:
+                   params: dict[str, dict] | None = None, folds: int = 5, key: str = "doc_id",
+                   trained: dict[str, Scorer] | None = None) -> Voting | Stacking:
+    """Members that are ``trained`` already are taken as they are; those of the folds are fitted in common passes."""
     names, params = names or BASE_MODELS, params or {}
-    models = {name: train(rows, name, params.get(name), key) for name in names}
+    models = dict(trained or {})
+    missing = [n for n in names if n not in models]
+    models |= train_all(rows, missing, params) if missing else {}
+    models = {n: models[n] for n in names}
     if kind == "voting":
         return Voting(models)
+    blocks, tag = blocks_of(rows, key, (folds, params.get("svm", {}).get("folds", 3))), f"f{folds}"
+    jobs = [job(n, params.get(n), blocks.n_features, [(tag, k)]) for k in range(folds) for n in names]
+    fitted = iter(passes.run(blocks, jobs))
     tagged = rows.withColumn("_fold", fold_of(key, folds))
     parts = []
-    for i in range(folds):
-        rest, held = tagged.filter(F.col("_fold") != i), tagged.filter(F.col("_fold") == i)
-        fold_models = {name: train(rest, name, params.get(name), key) for name in names}
-        parts.append(score_all(fold_models, held, key, TARGET))
+    for k in range(folds):
+        members = {n: Scorer(_usable(next(fitted), blocks)) for n in names}
+        parts.append(score_all(members, tagged.filter(F.col("_fold") == k), key, TARGET))
     stacked = parts[0]
     for part in parts[1:]:
         stacked = stacked.unionByName(part)

@@ -31,6 +31,7 @@ class Run:
     models: dict
     scores: DataFrame
     metrics: DataFrame
+    failed: dict[str, str]
 
 
 def prepare(docs: DataFrame, method: str = "tfidf", sample: int | None = None, key: str = "doc_id",
@@ -56,16 +57,17 @@ def run(docs: DataFrame, method: str = "tfidf", names: list[str] | None = None,
         ensemble: str | None = None, model_dir: str | None = None, **options) -> Run:
     """The whole chain. Only fitted models and the tables of metrics reach the driver."""
     p = prepare(docs, method, **options)
-    models: dict = TR.train_all(p.train, names, params, model_dir)
+    failed: dict[str, str] = {}
+    models: dict = TR.train_all(p.train, names, params, model_dir, failed)
     scores = TR.score_all(models, p.test, "doc_id", "label")
     if ensemble:
-        combined = TR.train_ensemble(p.train, ensemble, [n for n in TR.BASE_MODELS if n in models], params)
+        combined = TR.train_ensemble(p.train, ensemble, [n for n in TR.BASE_MODELS if n in models], params, trained=models)
         models[f"ensemble_{ensemble}"] = combined
         labels = p.test.select("doc_id", "label")
         scores = scores.unionByName(combined.score(p.test).join(labels, "doc_id").select(
             "doc_id", "label", F.lit(f"ensemble_{ensemble}").alias("model"), "p_spam", "prediction"))
     scores = materialise(scores, "scores")
-    return Run(p, models, scores, E.metrics(scores, "model"))
+    return Run(p, models, scores, E.metrics(scores, "model"), failed)
 
 
 def experiment_entry(model_metrics: DataFrame, vectorizer: str, at: Column | None = None) -> DataFrame:
