@@ -46,31 +46,41 @@ def _runs(code, g, h, n, total) -> Sums:
     return Sums(code[first], np.add.reduceat(g, first), np.add.reduceat(h, first), np.add.reduceat(n, first), total)
 
 
-def node_sums(block: Block, entries: np.ndarray | slice, rows: np.ndarray, g, h, n) -> Sums:
-    """Sums of the entries that belong to ``rows``, a mask."""
-    row = block.row[entries]
-    inside = rows[row]
-    row = row[inside]
-    code = block.feature[entries][inside].astype(np.int64) * 256 + block.bin[entries][inside]
-    return _runs(code, g[row], h[row], n[row], np.array([g[rows].sum(), h[rows].sum(), n[rows].sum()]))
+def node_sums(row: np.ndarray, code: np.ndarray, leaf: np.ndarray, wanted: list[int], g, h, n) -> dict[int, Sums]:
+    """Sums of the wanted nodes. ``row`` and ``code`` are entries in order of their codes, ``leaf`` is the node of every row."""
+    at, out = leaf[row], {}
+    for node in wanted:
+        inside = np.flatnonzero(at == node)
+        of, rows = row[inside], leaf == node
+        out[node] = _runs(code[inside], g[of], h[of], n[of], np.array([g[rows].sum(), h[rows].sum(), n[rows].sum()]))
+    return out
 
 
 def best_split(s: Sums, l2: float, least: float) -> tuple[float, int, int, np.ndarray] | None:
     """(gain, feature, bin, sums of the left side) of the best split, ties to the lower feature and bin."""
-    if not len(s.code):
+    if not len(s.code) or s.total[2] < 2 * least - 1e-9:
         return None
-    feature = s.code >> 8
+    feature, code, sums = s.code >> 8, s.code, np.stack([s.g, s.h, s.n])
     first = np.concatenate([[True], feature[1:] != feature[:-1]])
     start = np.flatnonzero(first)
     segment = np.cumsum(first) - 1
-    sums = np.stack([s.g, s.h, s.n])
+    # Only rows with an entry ever go right, so a feature needs as many entries as a leaf needs rows.
+    enough = np.add.reduceat(s.n, start) > least - 1e-9
+    if not enough.all():
+        kept = enough[segment]
+        feature, code, sums = feature[kept], code[kept], sums[:, kept]
+        if not len(code):
+            return None
+        first = np.concatenate([[True], feature[1:] != feature[:-1]])
+        start = np.flatnonzero(first)
+        segment = np.cumsum(first) - 1
     upto = np.cumsum(sums, axis=1)
     before = upto[:, start] - sums[:, start]
     last = np.concatenate([start[1:], [len(feature)]]) - 1
     zero = s.total[:, None] - (upto[:, last] - before)  # rows without an entry
     # Thresholds at zero, then at every bin that occurs.
     left = np.concatenate([zero, upto - before[:, segment] + zero[:, segment]], axis=1)
-    key = np.concatenate([s.code[start] & ~255, s.code])
+    key = np.concatenate([code[start] & ~255, code])
     right = s.total[:, None] - left
     # Differences of sums carry rounding; counts are whole numbers or small fractions of them.
     valid = (left[2] > least - 1e-9) & (right[2] > least - 1e-9) & (left[1] >= LEAST_HESSIAN) & (right[1] >= LEAST_HESSIAN)
@@ -230,17 +240,15 @@ class BoostJob(Job):
         margin = self._margin(block, recent)
         q = 1 / (1 + np.exp(-margin))
         g, h, one = q - block.target, np.maximum(q * (1 - q), 1e-16), np.ones(len(block))
-        leaf = tree.leaves_of(block)
-        entries = self._entries(block)
-        return {node: node_sums(block, entries, rows & (leaf == node), g, h, one) for node in wanted}
-
-    def _entries(self, block: Block) -> np.ndarray | slice:
-        """Entries of features with enough of them for a leaf; of all features where other blocks may add to them."""
-        if not self.whole:
-            return slice(0, len(block.row))
-        if (known := block.state.get(("frequent", self.p["min_samples_leaf"]))) is None:
-            enough = np.diff(block.start) >= self.p["min_samples_leaf"]
-            known = block.state["frequent", self.p["min_samples_leaf"]] = np.flatnonzero(enough[block.feature])
+        leaf = np.where(rows, tree.leaves_of(block), -1)
+        return node_sums(*self._entries(block), leaf, wanted, g, h, one)
+
+    def _entries(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and codes of the entries of features with enough of them for a leaf; of all features where other blocks may add."""
+        least = self.p["min_samples_leaf"] if self.whole else 0
+        if (known := block.state.get(("entries", least))) is None:
+            some = np.flatnonzero((np.diff(block.start) >= least)[block.feature])
+            known = block.state["entries", least] = block.row[some], block.feature[some].astype(np.int64) * 256 + block.bin[some]
         return known
 
     def _margin(self, block: Block, recent: list[Tree]) -> np.ndarray:
@@ -314,12 +322,13 @@ class ForestJob(Job):
             key = _mix(np.array([self.seed * 1_000_003 + t], np.uint64))[0]
             u = _mix(block.number.astype(np.uint64) ^ key) / 2.0 ** 64
             times = np.searchsorted(_POISSON, u).astype(float) * rows
-            leaf, g = tree.leaves_of(block), -times * block.target
+            leaf, g = np.where(times > 0, tree.leaves_of(block), -1), -times * block.target
             for node in wanted:
                 chosen = np.unique(np.random.default_rng((self.seed, t, node)).integers(0, self.n_features, self.n_drawn))
                 lengths = block.start[chosen + 1] - block.start[chosen]
                 entries = np.repeat(block.start[chosen] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-                out[t, node] = node_sums(block, entries, (leaf == node) & (times > 0), g, times, times)
+                code = block.feature[entries].astype(np.int64) * 256 + block.bin[entries]
+                out[t, node] = node_sums(block.row[entries], code, leaf, [node], g, times, times)[node]
         return out
 
     @staticmethod
