@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from mailsift.llm.common import Rolling, batched, materialise, mix
@@ -125,17 +125,22 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node and cls, the least node of its component, for all nodes of the links; halves paths each round."""
+    """node and cls, the least node of its component, for all nodes of the links; halves paths each round.
+
+    A round is one written step, which also tells whether anything changed, so that few plans pile up on the driver.
+    """
     both = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     state = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("cls")), "classes")
     while True:
         near = both.join(state.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("cls").alias("near"))
         new = state.join(near, "node").select("node", F.least("cls", "near").alias("cls"), F.col("cls").alias("was"))
         jump = new.select(F.col("node").alias("cls"), F.col("cls").alias("top"))
-        new = materialise(new.join(jump, "cls").select("node", F.col("top").alias("cls"), "was"), "classes")
-        if new.filter("cls <> was").isEmpty():
-            return new.select("node", "cls")
-        state = new.select("node", "cls")
+        seen = Observation()
+        new = new.join(jump, "cls").select("node", F.col("top").alias("cls"), "was").observe(
+            seen, F.count_if(F.col("cls") != F.col("was")).alias("changed"))
+        state = materialise(new, "classes").select("node", "cls")
+        if not seen.get["changed"]:
+            return state
 
 
 def candidates(signed: DataFrame) -> DataFrame:
@@ -332,11 +337,9 @@ def near_members(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TRE
     texts = materialise(with_node(docs).select("id_key", "node", "text").join(picked, ["id_key", "node"])
                         .dropDuplicates(["id_key", "node"]).select("node", "text"), "forest-texts")
     classes, links = None, None
-    for step in ("deep", "short", "second", "rest"):
-        if step == "deep":
-            pairs = forest.select(F.col("deep_hub").alias("a"), F.col("node").alias("b"))
-        elif step == "short":
-            pairs = forest.select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    for step in ("hubs", "second", "rest"):
+        if step == "hubs":
+            pairs = forest.select(F.explode(F.array("deep_hub", "hub")).alias("a"), F.col("node").alias("b"))
         else:
             known = classed(forest, classes, "node", "cls")
             mixed = known.groupBy("short").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).filter("x <> y").select("short")
@@ -348,8 +351,6 @@ def near_members(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TRE
             else:
                 pairs = across_classes(materialise(open_.select("short", "node", "cls"), "open"), texts, threshold)
         pairs = pairs.filter("a <> b").distinct()
-        if step == "short":
-            pairs = classed(classed(pairs, classes, "a", "ca"), classes, "b", "cb").filter("ca <> cb").select("a", "b")
         found = materialise(verify(pairs, texts, threshold), "links")
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
