@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from mailsift.functions import patterns as P, text as T
 from mailsift.functions.rows import inline_rows
+from mailsift.operators.ranking import global_rank, most_frequent
+from mailsift.session import materialise
 
 
 BROADCAST_TERMS = 100_000  # terms a vocabulary may have to be broadcast; a few MB
@@ -91,12 +93,10 @@ def fit(docs: DataFrame, v: Vectorizer) -> DataFrame:
     counted = inline_rows(docs, "terms", "term").groupBy("term").agg(
         F.count("*").alias("df"), F.sum("tf").alias("cf"))
     n = docs.agg(F.count("*")).scalar()
-    kept = (counted.filter((F.col("df") >= v.min_df) & (F.col("df") <= n * v.max_df))
-            .orderBy(F.col("cf").desc(), "term").limit(v.max_features))
+    known = materialise(counted.filter((F.col("df") >= v.min_df) & (F.col("df") <= n * v.max_df)), "term-counts")
+    kept = global_rank(most_frequent(known, v.max_features, "cf", "term"), "term_id", F.col("term"))
     idf = F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0
-    # One window over at most max_features rows.
-    return kept.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("term_id"), "df", "cf",
-                       idf.alias("idf"))
+    return kept.select("term", F.col("term_id").cast("int").alias("term_id"), "df", "cf", idf.alias("idf"))
 
 
 def vectors(docs: DataFrame, vocab: DataFrame, v: Vectorizer, key: str = "doc_id") -> DataFrame:
