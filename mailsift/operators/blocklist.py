@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mailsift import config, schemas
@@ -61,17 +63,52 @@ def listed_inline(hosts, entries: list[tuple[str, str]]):
         h.alias("domain"), F.try_element_at(reasons, F.lower(h)).alias("reason")))
 
 
+BLOOM_BITS = 1 << 20
+BLOOM_HASHES = 4
+
+
+def bloom(blocklist: DataFrame) -> list[int]:
+    """Bloom filter of the listed domains as 64-bit words; its size is fixed, whatever the length of the list.
+
+    Up to some 100,000 domains one unlisted host in a hundred passes; with more, more pass, and the join decides.
+    """
+    spots = F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(k), "domain"), F.lit(BLOOM_BITS)) for k in range(BLOOM_HASHES)]))
+    words = entries(blocklist).select(spots.alias("spot")).groupBy(F.floor(F.col("spot") / 64).cast("int").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(spot % 64 AS int))")).alias("bits"))
+    out = [0] * (BLOOM_BITS // 64)
+    for r in words.collect():
+        out[r["word"]] = r["bits"]
+    return out
+
+
+def may_be_listed(hosts, words: list[int]):
+    """The hosts of an array column that the Bloom filter lets through: all listed ones and a few others."""
+    table = F.from_json(F.lit(json.dumps(words)), "array<bigint>")  # one constant
+
+    def passes(host):
+        found = F.lit(True)
+        for k in range(BLOOM_HASHES):
+            spot = F.pmod(F.xxhash64(F.lit(k), F.lower(host)), F.lit(BLOOM_BITS))
+            word = F.get(table, F.floor(spot / 64).cast("int"))
+            found &= F.getbit(word, (spot % 64).cast("int")) == 1
+        return found
+    return F.filter(hosts, passes)
+
+
 def listed_joined(df: DataFrame, blocklist: DataFrame, key: str = "email_id", hosts: str = "hosts") -> DataFrame:
     """The same column for a list of any size.
 
-    ``df`` must be narrow: it is shuffled once by key. Only hosts that are listed reach the aggregation.
+    ``df`` must be narrow and cheap to read twice. A Bloom filter of fixed size tells in place which hosts may be
+    listed; only messages with such hosts are shuffled, and of their hosts only these are looked up.
     """
-    exploded = explode_rows(df, F.array_distinct(hosts), "host", key)
+    sifted = df.withColumn("_maybe", may_be_listed(F.array_distinct(hosts), bloom(blocklist)))
+    empty = F.from_json(F.lit("[]"), "ARRAY<STRUCT<domain: STRING, reason: STRING>>")
+    clear = sifted.filter(F.size("_maybe") == 0).drop("_maybe").withColumn("listed", empty)
+    rest = sifted.filter(F.size("_maybe") > 0)
     listed = entries(blocklist).withColumnRenamed("domain", "_domain")
-    hits = (exploded.join(listed, F.lower("host") == F.col("_domain"))
+    hits = (explode_rows(rest, "_maybe", "host", key).join(listed, F.lower("host") == F.col("_domain"))
             .groupBy(key).agg(F.collect_list(F.struct(F.col("host").alias("domain"), "reason")).alias("listed")))
-    empty = F.from_json(F.lit("[]"), "ARRAY<STRUCT<domain: STRING, reason: STRING>>")
-    return df.join(hits, key, "left").withColumn("listed", F.coalesce("listed", empty))
+    return clear.unionByName(rest.drop("_maybe").join(hits, key, "left").withColumn("listed", F.coalesce("listed", empty)))
 
 
 def empty(spark: SparkSession) -> DataFrame:

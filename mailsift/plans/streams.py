@@ -37,10 +37,38 @@ def _emails(spark, sf_dir, joined: bool = False):
     return docs.select(*cols)
 
 
-@query("stream_score", f"WITH {S.RISK} SELECT email_id, risk_score, risk_level FROM risk")
+_SCORES = f"WITH {S.RISK} SELECT email_id, risk_score, risk_level FROM risk"
+
+
+def _scored(spark, sf_dir, blocklist, name):
+    path = scratch_path(spark, name)
+    J.score_batches(_emails(spark, sf_dir), blocklist, path, scratch_path(spark, f"{name}-cp"))
+    return spark.read.parquet(path).select("email_id", "risk_score", "risk_level")
+
+
+@query("stream_score", _SCORES)
 def stream_score(spark, sf_dir):
-    scored = J.score(_emails(spark, sf_dir), B.seeds(spark)).select("email_id", "risk_score", "risk_level")
-    return J.run_available(scored, "stream-score")
+    return _scored(spark, sf_dir, B.seeds(spark), "stream-score")
+
+
+@query("stream_score_long_list", _SCORES)
+def stream_score_long_list(spark, sf_dir):
+    """The same against the seeds and one unused domain per event, read again for every micro-batch."""
+    def current():
+        other = table(spark, sf_dir, "events").select(
+            F.concat(F.lit("host"), F.col("event_id"), F.lit(".invalid")).alias("domain"), F.lit("unused").alias("reason"),
+            F.lit(None).cast("timestamp").alias("added_at"))
+        return B.insert_missing(B.seeds(spark), other)
+    return _scored(spark, sf_dir, current, "stream-score-long")
+
+
+@query("stream_late", """SELECT kind, count(*) AS n FROM (SELECT CASE WHEN event_type = 'error' OR ts IS NULL THEN 'rejected' ELSE 'kept' END AS kind
+  FROM events) GROUP BY kind""")
+def stream_late(spark, sf_dir):
+    """Rows kept, late and rejected, which add up to the input; one batch has no earlier one to be late for."""
+    path = scratch_path(spark, "stream-late")
+    J.split_late(_events(spark, sf_dir), "ts", "1 hour", F.col("event_type") != "error", path, scratch_path(spark, "stream-late-cp"))
+    return spark.read.parquet(f"{path}/rows").groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query("stream_alerts", f"""WITH {S.RISK} SELECT email_id, CASE WHEN risk_score >= 90 THEN 'CRITICAL' ELSE 'WARNING' END AS level

@@ -1,19 +1,18 @@
 """Structured Streaming forms of the jobs.
 
-Scoring is a projection, so a stream runs the batch expressions unchanged and keeps no state. Windowed jobs
-declare watermarks; late rows beyond them are dropped by Spark and counted per batch where asked for.
+Scoring keeps no state: every micro-batch is analysed as a table is. Windowed jobs declare watermarks, beyond which Spark
+drops late rows; ``split_late`` writes them, and invalid ones, beside the kept rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from mailsift import config
+from mailsift import config, schemas
 from mailsift.functions import urls as U
 from mailsift.functions.rows import explode_rows
 from mailsift.operators import alerts as A, risk as R, rules
@@ -29,8 +28,12 @@ def read_files(spark: SparkSession, folder: str, schema, files: str = "*.parquet
 
 def read_kafka(spark: SparkSession, servers: str, topic: str = "email_ingest", schema: str | None = None) -> DataFrame:
     """Emails as JSON values of a topic; the connector package comes with the cluster."""
-    from mailsift import schemas
     raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).load()
+    return parse_messages(raw, schema)
+
+
+def parse_messages(raw: DataFrame, schema: str | None = None) -> DataFrame:
+    """Columns of JSON messages in a binary ``value``; what isn't JSON becomes a row of nulls, unknown fields are left out."""
     parsed = F.from_json(F.col("value").cast("string"), schema or schemas.EMAILS)
     return raw.select(parsed.alias("m")).select("m.*")
 
@@ -46,20 +49,62 @@ def run_available(stream: DataFrame, name: str, checkpoint: str | None = None, p
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def score(emails: DataFrame, blocklist: DataFrame, keep: tuple[str, ...] = ("email_id",)) -> DataFrame:
-    """Risk of every arriving email. The blocklist must be small enough to travel inside the plan."""
-    return R.analyse(emails, blocklist, keep)
+Listed = DataFrame | Callable[[], DataFrame]
+
+
+def _current(blocklist: Listed) -> DataFrame:
+    """The list as it is now: a function is asked again for every micro-batch."""
+    return blocklist() if callable(blocklist) else blocklist
+
+
+def score_batches(emails: DataFrame, blocklist: Listed, path: str, checkpoint: str, *columns: str) -> None:
+    """Risk of every arriving email against a list of any size, which is read again for every micro-batch.
+
+    Each micro-batch is analysed like a table: hosts are sifted in place and those that may be listed are joined. Its
+    results lie in a folder of their own, so a repeated batch replaces what it wrote before.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        scored = R.analyse(batch, _current(blocklist))
+        scored.select(*(columns or ("email_id", "risk_score", "risk_level"))).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    _each_batch(emails, write, checkpoint)
+
+
+def _each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+     .trigger(availableNow=True).start().awaitTermination())
 
 
-def write_alerts(emails: DataFrame, blocklist: DataFrame, path: str, checkpoint: str) -> None:
+def write_alerts(emails: DataFrame, blocklist: Listed, path: str, checkpoint: str) -> None:
     """Alerts of each micro-batch in a folder of its own: a repeated batch replaces what it wrote before."""
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = batch.withColumn("email_preview", A.preview(F.col("body")))
-        analysed = R.analyse(rows, blocklist, ("email_id", "received_at", "email_preview"))
+        analysed = R.analyse(rows, _current(blocklist), ("email_id", "received_at", "email_preview"))
         A.alerts(analysed).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    (emails.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-     .trigger(availableNow=True).start().awaitTermination())
+    _each_batch(emails, write, checkpoint)
+
+
+def split_late(stream: DataFrame, ts: str, delay: str, valid: Column, path: str, checkpoint: str) -> None:
+    """Every row of a stream once: kept ones, late ones and rejected ones, each micro-batch in folders of its own.
+
+    A row is late when it is older than the newest time of all earlier micro-batches less ``delay``; that time is kept
+    beside the results, so a repeated batch decides as before. A row that isn't ``valid``, or has no time, is rejected.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        seen = spark.createDataFrame([(-1, None)], "batch long, newest timestamp")
+        if batch_id:
+            seen = spark.read.schema("newest timestamp, batch long").parquet(f"{path}/newest").filter(F.col("batch") < batch_id)
+        limit = seen.agg((F.max("newest") - F.expr(f"INTERVAL {delay}")).alias("t")).first()["t"]
+        good = F.coalesce(valid, F.lit(False)) & F.col(ts).isNotNull()
+        late = F.lit(False) if limit is None else F.col(ts) < F.lit(limit)
+        kind = F.when(~good, "rejected").when(late, "late").otherwise("kept")
+        # Columns that decide are computed once and written with the row.
+        (batch.withColumn("kind", kind).write.mode("overwrite").partitionBy("kind").parquet(f"{path}/rows/batch={batch_id}"))
+        batch.filter(good).agg(F.max(ts).alias("newest")).write.mode("overwrite").parquet(f"{path}/newest/batch={batch_id}")
+
+    _each_batch(stream, write, checkpoint)
 
 
 def drift_windows(rows: DataFrame, spam_ratio: float, avg_length: float, width: str = "1 day",
@@ -127,10 +172,3 @@ def match_feedback(predictions: DataFrame, feedback: DataFrame, within: str = "2
     f = feedback.withWatermark("timestamp", delay).alias("f")
     return p.join(f, F.expr(
         f"f.id = p.email_id AND f.timestamp >= p.scored_at AND f.timestamp <= p.scored_at + INTERVAL {within}"))
-
-
-def count_late(stream: DataFrame, ts: str, cutoff: Column, totals: dict[str, Any]) -> Any:
-    """``foreachBatch`` function that adds up rows older than a cut-off, one number per batch."""
-    def check(batch: DataFrame, batch_id: int) -> None:
-        totals[str(batch_id)] = batch.filter(F.col(ts) < cutoff).count()
-    return stream.writeStream.foreachBatch(check)

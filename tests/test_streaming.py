@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from mailsift.operators import blocklist as B
+from mailsift.operators import blocklist as B, risk as R
 from mailsift.streaming import jobs as J
 
 SCHEMA = "email_id LONG, received_at TIMESTAMP, body STRING, raw_headers STRING"
@@ -21,8 +21,8 @@ def test_restart_scores_only_new_rows(spark, tmp_path):
     write(spark, src, [(1, 0, "See http://earn-money.xyz today"), (2, 1, "hello")])
 
     def run():
-        scored = J.score(J.read_files(spark, src, SCHEMA), B.seeds(spark)).select("email_id", "risk_score")
-        return J.run_available(scored, "s", cp, out)
+        J.score_batches(J.read_files(spark, src, SCHEMA), B.seeds(spark), out, cp, "email_id", "risk_score")
+        return spark.read.parquet(out).select("email_id", "risk_score")
     assert sorted(map(tuple, run().collect())) == [(1, 80), (2, 0)]
     write(spark, src, [(3, 2, "Go http://microsoft.com/x")])
     assert sorted(map(tuple, run().collect())) == [(1, 80), (2, 0), (3, 15)]
@@ -52,3 +52,56 @@ def test_repeated_delivery(spark, tmp_path):
         write(spark, src, rows)
         got = J.run_available(J.deduplicated(J.read_files(spark, src, SCHEMA)).select("email_id"), "x", cp, out)
     assert sorted(r["email_id"] for r in got.collect()) == [1, 2]
+
+
+def test_long_lists_and_lists_that_change(spark, tmp_path):
+    """100,000 entries score a stream; an entry added between two batches counts for the second only."""
+    src, out, cp, listed = (str(tmp_path / n) for n in ("in", "out", "cp", "list"))
+    spark.range(100_000).selectExpr("concat('d', id, '.org') AS domain", "concat('r', id) AS reason",
+                                    "timestamp'2024-01-01' AS added_at").write.parquet(listed)
+    rows = [(1, 0, "see http://d77777.org now"), (2, 1, "see http://D5.org and http://fresh.org"), (3, 2, "see http://unknown.org"), (4, 3, "")]
+
+    def run():
+        J.score_batches(J.read_files(spark, src, SCHEMA, max_files=1), lambda: spark.read.parquet(listed), out, cp,
+                        "email_id", "risk_score", "threat_reasons")
+    write(spark, src, rows)
+    run()
+    first = {r["email_id"]: r for r in spark.read.parquet(out).collect()}
+    assert len(first) == 4 and first[3]["risk_score"] < first[1]["risk_score"]
+    assert any("r77777" in x for x in first[1]["threat_reasons"]) and any("r5" in x for x in first[2]["threat_reasons"])
+    spark.createDataFrame([("fresh.org", "just reported", dt.datetime(2024, 1, 2))], "domain string, reason string, added_at timestamp"
+                          ).write.mode("append").parquet(listed)
+    write(spark, src, [(12, 1, "see http://D5.org and http://fresh.org")])
+    run()
+    both = {r["email_id"]: r for r in spark.read.parquet(out).collect()}
+    assert any("just reported" in x for x in both[12]["threat_reasons"])
+    assert not any("just reported" in x for x in both[2]["threat_reasons"])
+    # The same as a table.
+    batch = R.analyse(spark.read.schema(SCHEMA).parquet(src), spark.read.parquet(listed)).collect()
+    table = {r["email_id"]: r["risk_score"] for r in batch}
+    assert all(both[i]["risk_score"] == table[i] for i in (1, 2, 3, 4, 12))
+
+
+def test_the_sieve_loses_no_listed_host(spark):
+    listed = spark.range(5000).selectExpr("concat('Host', id, '.com') AS domain", "'r' AS reason", "timestamp'2024-01-01' AS added_at")
+    hosts = spark.range(10_000).selectExpr("id", "array(concat('hOST', id, '.com')) AS hosts")
+    found = hosts.withColumn("maybe", B.may_be_listed(F.col("hosts"), B.bloom(listed))).filter(F.size("maybe") > 0)
+    ids = {r["id"] for r in found.collect()}
+    assert set(range(5000)) <= ids and len(ids) < 5100
+
+
+def test_late_and_rejected_rows_are_written_and_add_up(spark, tmp_path):
+    src, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    batches = ([(1, 600, "a"), (2, 700, None)], [(3, 650, "c"), (4, 100, "d"), (5, 800, "e")], [(6, 710, "f"), (7, 50, None), (8, 745, "g")])
+    for rows in batches:
+        write(spark, src, rows)
+        J.split_late(J.read_files(spark, src, SCHEMA), "received_at", "60 minutes", F.col("body").isNotNull(), out, cp)
+    got = {r["email_id"]: r["kind"] for r in spark.read.parquet(f"{out}/rows").collect()}
+    # Limits: none, 600 - 60 (row 2 is rejected and has no say), 800 - 60.
+    assert got == {1: "kept", 2: "rejected", 3: "kept", 4: "late", 5: "kept", 6: "late", 7: "rejected", 8: "kept"}
+
+
+def test_messages_of_a_topic(spark):
+    raw = spark.createDataFrame([(b'{"email_id": 5, "body": "hi", "other": 1}',), (b"no json",), (None,), ("{\"body\": \"\u00e9\"}".encode(),)], "value binary")
+    got = [(r["email_id"], r["body"]) for r in J.parse_messages(raw, SCHEMA).collect()]
+    assert got == [(5, "hi"), (None, None), (None, None), (None, "\u00e9")]
