@@ -28,4 +28,5 @@ def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
 
 
 def load_all() -> None:
-    from mailsift.plans import evaluation, features, forensics, models, neighbours, streams, tables, textjobs  # noqa: F401
+    from mailsift.plans import (evaluation, features, forensics, models, neighbours, sqlsurface, streams, tables,  # noqa: F401
+                                textjobs)
