@@ -27,6 +27,30 @@ def p95_latency(events: DataFrame, width: str = RULE_WINDOW, accuracy: int | Non
             .select(F.col("w.start").alias("window_start"), "p95", (F.col("p95") > LATENCY_SECONDS).alias("is_alert")))
 
 
+SKETCH_K = 800
+RANK_ERROR = 0.01  # of a quantile from sketches of this size, however many of them are merged
+
+
+def minute_sketches(events: DataFrame) -> DataFrame:
+    """``m`` (the minute), ``n``, ``errors`` and a mergeable sketch of ``value``: a few kilobytes, whatever the number of events."""
+    return events.groupBy(F.window("ts", "1 minute").alias("m")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"),
+        F.kll_sketch_agg_double(F.col("value").cast("double"), SKETCH_K).alias("sketch"))
+
+
+def from_minutes(minutes: DataFrame, width: str = RULE_WINDOW, slide: str | None = None) -> DataFrame:
+    """``window_start, n, errors, p95`` of wider windows, sliding ones too, from the minutes alone.
+
+    Windows must begin and end with minutes. ``p95`` has a rank between 0.95 less and plus ``RANK_ERROR``; a window
+    without values has none.
+    """
+    merged = minutes.groupBy(F.window("m", width, slide or width).alias("w")).agg(
+        F.sum("n").alias("n"), F.sum("errors").alias("errors"), F.kll_merge_agg_double("sketch", SKETCH_K).alias("sketch"))
+    some = F.kll_sketch_get_n_double("sketch") > 0
+    return merged.select(F.col("w.start").alias("window_start"), "n", "errors",
+                         F.when(some, F.kll_sketch_get_quantile_double("sketch", F.lit(0.95))).alias("p95"))
+
+
 def silence_gaps(events: DataFrame, seconds: int = SILENCE_SECONDS) -> DataFrame:
     """Times without any event for longer than ``seconds``.
 

@@ -123,6 +123,23 @@ class Scorer:
             self.model.write().overwrite().save(f"{path}/model")
 
 
+def coefficients(scorer: Scorer, vocabulary: DataFrame) -> DataFrame | None:
+    """``term_id, term, coefficient`` in favour of spam of a linear model, one row per term; None for trees."""
+    model = scorer.model
+    if isinstance(model, L.LinearModel):
+        values = model.coefficients
+    elif hasattr(model, "theta"):
+        logs = model.theta.toArray()
+        values = logs[1] - logs[0]
+    elif hasattr(model, "coefficients"):
+        values = model.coefficients.toArray()
+    else:
+        return None
+    rows = [(i, float(v)) for i, v in enumerate(values)]
+    return vocabulary.select("term_id", "term").join(
+        vocabulary.sparkSession.createDataFrame(rows, "term_id int, coefficient double"), "term_id")
+
+
 def margin_confidence(raw: Column) -> Column:
     """Confidence of a model without probabilities, from its decision value."""
     return 1.0 / (1.0 + F.exp(-F.abs(raw)))

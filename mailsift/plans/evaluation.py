@@ -164,6 +164,20 @@ def p95_latency(spark, sf_dir):
         F.unix_micros("window_start").alias("window_start"), F.round("p95", 6).alias("p95"), "is_alert")
 
 
+@query("p95_sketch", """SELECT CAST(epoch_us(time_bucket(INTERVAL '1 day', ts)) AS BIGINT) AS window_start, count(*) AS n, true AS within
+FROM events GROUP BY 1""")
+def p95_sketch(spark, sf_dir):
+    """Daily 95th percentiles merged from sketches per minute, and whether their ranks lie within the stated error."""
+    rows = events(spark, sf_dir)
+    days = rules.from_minutes(rules.minute_sketches(rows), "1 day")
+    ranks = rows.withColumn("window_start", F.window("ts", "1 day")["start"]).join(F.broadcast(days), "window_start")
+    below, upto = F.count_if(F.col("value") < F.col("p95")) / F.count("value"), F.count_if(F.col("value") <= F.col("p95")) / F.count("value")
+    # A value stands for all ranks from below to upto.
+    within = (below <= 0.95 + rules.RANK_ERROR) & (upto >= 0.95 - rules.RANK_ERROR)
+    return ranks.groupBy("window_start").agg(F.count("*").alias("n"), within.alias("within")).withColumn(
+        "window_start", F.unix_micros("window_start"))
+
+
 @query("silence_gaps", """WITH g AS (SELECT ts, lead(ts) OVER (ORDER BY ts) AS nxt FROM events)
 SELECT CAST(epoch_us(ts) AS BIGINT) AS gap_start, CAST(epoch_us(nxt) AS BIGINT) AS gap_end,
   round((epoch_us(nxt) - epoch_us(ts)) / 1000000.0::DOUBLE, 6) AS seconds FROM g WHERE epoch_us(nxt) - epoch_us(ts) > 60000000""")

@@ -121,13 +121,13 @@ def drift_windows(rows: DataFrame, spam_ratio: float, avg_length: float, width:
 
 def error_windows(events: DataFrame, width: str = "5 minutes", slide: str = "1 minute",
                   delay: str = "10 minutes") -> DataFrame:
-    """Error share and approximate 95th percentile over sliding windows."""
-    return (events.withWatermark("ts", delay).groupBy(F.window("ts", width, slide).alias("w")).agg(
-        F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"),
-        F.percentile_approx("value", 0.95, 10_000).alias("p95"))
-        .select(F.col("w.start").alias("window_start"), "n", "errors", "p95",
-                (F.col("errors") / F.col("n") > rules.ERROR_SHARE).alias("error_alert"),
-                (F.col("p95") > rules.LATENCY_SECONDS).alias("latency_alert")))
+    """Error share and 95th percentile over sliding windows, merged from sketches per minute.
+
+    An event updates the state of one minute; only minutes, not events, are copied into the windows that slide over them.
+    """
+    out = rules.from_minutes(rules.minute_sketches(events.withWatermark("ts", delay)), width, slide)
+    return out.select("window_start", "n", "errors", "p95", (F.col("errors") / F.col("n") > rules.ERROR_SHARE).alias("error_alert"),
+                      (F.col("p95") > rules.LATENCY_SECONDS).alias("latency_alert"))
 
 
 def activity_sessions(events: DataFrame, source: str, gap: str, delay: str = "10 minutes") -> DataFrame:

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from mailsift.operators import blocklist as B, risk as R
+from mailsift.operators import blocklist as B, risk as R, rules
 from mailsift.streaming import jobs as J
 
 SCHEMA = "email_id LONG, received_at TIMESTAMP, body STRING, raw_headers STRING"
@@ -105,3 +105,22 @@ def test_messages_of_a_topic(spark):
     raw = spark.createDataFrame([(b'{"email_id": 5, "body": "hi", "other": 1}',), (b"no json",), (None,), ("{\"body\": \"\u00e9\"}".encode(),)], "value binary")
     got = [(r["email_id"], r["body"]) for r in J.parse_messages(raw, SCHEMA).collect()]
     assert got == [(5, "hi"), (None, None), (None, None), (None, "\u00e9")]
+
+
+def test_sketches_keep_their_rank_error(spark):
+    import random
+    rng = random.Random(6)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(start + dt.timedelta(seconds=rng.randrange(3600)), rng.choice(["error", "view"]), rng.lognormvariate(0, 1)) for _ in range(30_000)]
+    events = spark.createDataFrame(rows + [(start + dt.timedelta(hours=2), "view", None)], "ts timestamp, event_type string, value double")
+    for width, slide in (("1 hour", None), ("5 minutes", "1 minute")):
+        got = rules.from_minutes(rules.minute_sketches(events), width, slide).collect()
+        span = dt.timedelta(hours=1) if slide is None else dt.timedelta(minutes=5)
+        for r in got:
+            own = [x for x in rows if r["window_start"] <= x[0] < r["window_start"] + span]
+            if own:
+                assert r["n"] == len(own) and r["errors"] == sum(x[1] == "error" for x in own)
+                assert abs(sum(x[2] <= r["p95"] for x in own) / len(own) - 0.95) <= rules.RANK_ERROR + 1 / len(own)
+            else:
+                assert r["p95"] is None
+        assert len(got) >= 2

@@ -68,3 +68,14 @@ def test_failed_models_are_named(docs, monkeypatch):
     with pytest.warns(UserWarning):
         kept = TR.train_all(rows, ["naive_bayes", "svm", "gradient_boosting"], failed=failed)
     assert set(kept) == {"naive_bayes"} and set(failed) == {"svm", "gradient_boosting"} and "no room" in failed["svm"]
+
+
+def test_scored_emails_name_the_words(spark, docs):
+    from mailsift.operators import blocklist as BL
+    from mailsift.plans.scoring import score_emails
+    p = P.prepare(docs)
+    mails = docs.select(F.col("doc_id").alias("email_id"), F.col("text").alias("body"), F.lit("").alias("raw_headers"))
+    for name in ("naive_bayes", "svm"):
+        rows = score_emails(mails, BL.seeds(spark), p, TR.train(p.train, name), name).collect()
+        spam = [r["threat_explanation"] for r in rows if r["prediction"] == "spam"]
+        assert len(rows) == 200 and spam and any("semantic patterns identified around: " in x for x in spam)
