@@ -11,7 +11,7 @@ from mailsift.operators import (alerts as A, blocklist as B, decision as D, eval
 from mailsift.plans import sqlparts as S
 from mailsift.plans.catalog import query
 from mailsift.session import scratch_path
-from mailsift.sources import derived, generate, loaders, mime, stores
+from mailsift.sources import derived, generate, kept, loaders, mime, stores
 from mailsift.sources.emails import emails, events, table
 
 
@@ -144,6 +144,16 @@ def blocklist_upsert(spark, sf_dir):
     return _blocklist(spark, sf_dir).withColumn("added_at", F.unix_micros("added_at"))
 
 
+@query("blocklist_store", f"WITH {_UPSERT} SELECT domain, reason, CAST(epoch_us(added_at) AS BIGINT) AS added_at FROM blocklist")
+def blocklist_store(spark, sf_dir):
+    """The same by writing reports into the stored list, of which only the touched buckets are rewritten."""
+    path = scratch_path(spark, "blocklist-store")
+    kept.create_keyed(B.upsert(B.seeds(spark), B.empty(spark)), path, "domain")
+    reports = derived.reports(spark, sf_dir).withColumn("domain", F.lower("domain"))
+    kept.upsert(path, reports, "domain", B.upsert)
+    return kept.read(spark, path).withColumn("added_at", F.unix_micros("added_at")).select("domain", "reason", "added_at")
+
+
 @query("blocklist_count", f"WITH {_UPSERT} SELECT count(*) AS n_domains FROM blocklist")
 def blocklist_count(spark, sf_dir):
     return _blocklist(spark, sf_dir).agg(F.count("*").alias("n_domains"))
@@ -191,6 +201,16 @@ def retention(spark, sf_dir):
     return RT.kept(rows, F.to_timestamp(F.lit(_AS_OF)), _DAYS).select("id", F.unix_micros("timestamp").alias("timestamp"))
 
 
+@query("retention_store", f"""WITH {S.EMAILS}, {S.FEEDBACK} SELECT id, CAST(epoch_us(timestamp) AS BIGINT) AS timestamp FROM feedback
+  WHERE coalesce(timestamp >= TIMESTAMP '{_AS_OF}' - INTERVAL {_DAYS} DAY, true)""")
+def retention_store(spark, sf_dir):
+    """The same on a stored table by day: expired days are removed, the day of the cut-off is rewritten."""
+    path = scratch_path(spark, "feedback-store")
+    kept.create_daily(derived.feedback(spark, sf_dir), path, "timestamp")
+    kept.expire(spark, path, _AS_OF, _DAYS)
+    return kept.read(spark, path).select("id", F.unix_micros("timestamp").alias("timestamp"))
+
+
 @query("retention_audit", f"""WITH {S.EMAILS}, {S.FEEDBACK}, n AS (SELECT count(*) AS n FROM feedback
   WHERE timestamp < TIMESTAMP '{_AS_OF}' - INTERVAL {_DAYS} DAY)
 SELECT 'DATA_RETENTION' AS event_type, 'Deleted ' || n || ' expired records (older than {_DAYS} days)' AS details FROM n WHERE n > 0""")
