@@ -20,7 +20,7 @@ def global_rank(df: DataFrame, name: str, *order: Column) -> DataFrame:
     sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before: dict[int, int] = {}
     total = 0
-    for r in sizes.orderBy("_part").collect():
+    for r in sorted(sizes.collect(), key=lambda r: r["_part"]):  # one row per partition
         before[r["_part"]] = total
         total += r["_n"]
     offsets = df.sparkSession.createDataFrame(list(before.items()), "_part long, _before long")
