@@ -184,10 +184,13 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
             for _, hashes, _ in shingle_sets(batch):
                 np.add.at(total, (hashes % np.uint64(COUNTED)).astype(np.int64), 1)
         hit = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], ["bucket", "n"])
-    out = np.zeros(COUNTED, np.int64)
-    summed = texts.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out[summed["bucket"].to_numpy(np.int64)] = summed["n"].to_numpy(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(total[hit])], ["bucket", "n"])
+    most = np.iinfo(np.int32).max
+    summed = texts.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(
+        F.least(F.sum("n"), F.lit(most)).cast("int").alias("n")).toArrow()
+    out = np.zeros(COUNTED, np.int32)
+    for batch in summed.to_batches():
+        out[np.asarray(batch.column("bucket"))] = np.asarray(batch.column("n"))
     return out
 
 
