@@ -1,14 +1,17 @@
 """Near-duplicate join: MinHash LSH forest, then exact Jaccard similarity of five-word shingles.
 
-Each text has one label per tree, a sequence of minima; texts that agree on a prefix of a label meet in a node of the
-tree's trie. Two fixed depths replace the adaptive descent of a forest: the full one, and the first at which texts at the
-threshold meet in some tree with the target probability; no prefix is shortened by what was matched. At the second depth,
-pairs that already share a class are not looked at again to find classes. Within a node, texts are
-first compared with the node's hub only, so a large group of similar texts costs about one comparison per text and tree.
-At the last depth, texts of different classes that share a node are compared where they can reach the threshold: one of
-their rarest shingles must be shared. So no link between different texts is lost that the forest has found, while texts
-that merely hold the same common passage are not paired. When the classes are known, the links of each text are counted
-over all texts of its class, block by block.
+Each text has one label per tree, a sequence of minima. The labels of all texts, one row per text and tree, are sorted,
+so that a tree's rows stand in the order of its trie, and a walk along them finds how long a prefix each row shares with
+a neighbour; rows that share less than the shortest prefix meet nobody and go. The shortest prefix is the first at which
+texts at the threshold meet in some tree with the target recall.
+
+Prefixes are then shortened level by level. At each depth a text is compared with the hub of its node, but only where
+it shares that much with another text and isn't yet in the hub's class, so a large group of similar texts costs about one
+comparison per text, and only texts without a match go on with shorter prefixes. At the last depth, texts of different
+classes that share a node are compared where they can reach the threshold: one of their rarest shingles must be shared.
+So no link between different texts is lost that the forest has found, while texts that merely hold the same common
+passage are not paired. When the classes are known, the links of each text are counted over all texts of its class, block
+by block.
 
 Identical texts are one node of the graph, told by a 64-bit hash. Only candidates' texts are shuffled.
 """
@@ -65,37 +68,85 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return Rolling(data).of(starts[first], ends[last]), counts
 
 
-def labels(hashes: np.ndarray, counts: np.ndarray, cut: list[int], trees: int, depth: int) -> list[np.ndarray]:
-    """For each prefix length in ``cut``: text x tree, texts without shingles left out."""
+def labels(hashes: np.ndarray, counts: np.ndarray, base: int, trees: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text x tree: a hash of the first ``base`` minima, and the further minima packed in order; texts without shingles left out.
+
+    Ordered by both, the rows of a tree stand in the order of its trie below ``base``.
+    """
     starts = (np.cumsum(counts) - counts)[counts > 0]
     factors = np.random.default_rng(11).integers(1, 1 << 63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    out = [np.empty((len(starts), trees), np.uint64) for _ in cut]
+    short, tail = (np.zeros((len(starts), trees), np.uint64) for _ in range(2))
+    bits = np.uint64(tail_bits(base, depth))
     for tree in range(trees):
-        prefix = np.full(len(starts), tree + 1, np.uint64)
+        short[:, tree] = tree + 1
         for level in range(depth):
-            prefix = mix(prefix * np.uint64(31) + np.minimum.reduceat(hashes * factors[tree * depth + level], starts))
-            for i, n in enumerate(cut):
-                if level + 1 == n:
-                    out[i][:, tree] = prefix
-    return out
+            least = np.minimum.reduceat(hashes * factors[tree * depth + level], starts)
+            if level < base:
+                short[:, tree] = mix(short[:, tree] * np.uint64(31) + least)
+            else:
+                tail[:, tree] = (tail[:, tree] << bits) | (mix(least) >> (np.uint64(64) - bits))
+    return short, tail
+
 
+def tail_bits(base: int, depth: int) -> int:
+    """Bits of each minimum below the shortest prefix."""
+    return 63 // max(1, depth - base)
 
-def signatures(docs: DataFrame, trees: int, depth: int, cut: list[int]) -> DataFrame:
-    """doc_id, id_key, node (hash of the text) and its labels at the full and at the last depth."""
+
+def signatures(docs: DataFrame, trees: int, depth: int, base: int) -> DataFrame:
+    """doc_id, id_key, node (hash of the text) and its labels: the shortest prefixes and what follows them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for part in batched(list(range(len(texts))), [len(t) for t in texts], BLOCK):
                 hashes, counts = shingles([texts[i] for i in part])
-                found = labels(hashes, counts, [cut[0], cut[-1]], trees, depth)
+                found = labels(hashes, counts, base, trees, depth)
                 ends = np.concatenate([[0], np.cumsum(counts > 0)]) * trees
                 lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(f.view(np.int64).ravel())) for f in found]
                 own = batch.take(pa.array(part))
                 yield pa.RecordBatch.from_arrays(
                     [own.column("doc_id"), own.column("id_key"), own.column("node"), *lists],
-                    ["doc_id", "id_key", "node", "deep", "short"])
+                    ["doc_id", "id_key", "node", "short", "tail"])
     return with_node(docs).mapInArrow(
-        run, "doc_id long, id_key long, node long, deep array<long>, short array<long>")
+        run, "doc_id long, id_key long, node long, short array<long>, tail array<long>")
+
+
+def walk(tries: DataFrame, base: int, depth: int) -> DataFrame:
+    """The rows (short, tail, node) that share a prefix with another row, and how long a prefix: ``matched``.
+
+    Rows are dealt by ranges, so a node that many texts share is split over tasks. The first and the last row of a range
+    can't see one neighbour and count as matched in full, which compares a text too early but loses none.
+    """
+    bits = tail_bits(base, depth)
+
+    def shared(short: np.ndarray, tail: np.ndarray) -> np.ndarray:
+        """Length of the prefix that each row shares with the next, 0 below the shortest."""
+        same = short[1:] == short[:-1]
+        out, differ = np.where(same, base, 0), tail[1:] ^ tail[:-1]
+        for level in range(1, depth - base + 1):
+            out += same & (differ >> (bits * (depth - base - level)) == 0)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, above = None, depth
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [np.asarray(batch.column(c)) for c in ("short", "tail", "node")]
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows)]
+            below = shared(rows[0], rows[1])
+            matched = np.maximum(np.concatenate([[above], below[:-1]])[:len(below)], below)
+            keep = matched > 0
+            yield pa.RecordBatch.from_arrays([*[pa.array(x[:-1][keep]) for x in rows], pa.array(matched[keep].astype(np.int32))],
+                                             ["short", "tail", "node", "matched"])
+            above = int(below[-1]) if len(below) else above
+            held = [x[-1:] for x in rows]
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([*map(pa.array, held), pa.array([depth], pa.int32())],
+                                             ["short", "tail", "node", "matched"])
+    return tries.repartitionByRange("short", "tail", "node").sortWithinPartitions("short", "tail").mapInArrow(
+        run, "short long, tail long, node long, matched int")
 
 
 def with_node(docs: DataFrame) -> DataFrame:
@@ -138,21 +189,21 @@ def components(links: DataFrame) -> DataFrame:
         state = new.select("node", "cls")
 
 
-def candidates(signed: DataFrame) -> DataFrame:
-    """Nodes of the forest that hold different texts: one row per text and tree with the hubs at both depths.
-
-    The hub is the text that meets most others in all trees: the original of a group of copies, if it is there.
-    """
-    rows = signed.select("node", F.explode(F.arrays_zip("deep", "short")).alias("at")).select(
-        "node", F.col("at.short").alias("short"), F.col("at.deep").alias("deep"))
-    shared = rows.groupBy("short").agg(F.min("node").alias("least"), F.max("node").alias("last")).filter("least <> last")
-    met = materialise(rows.join(shared.select("short"), "short").distinct(), "forest")
+def forest_rows(signed: DataFrame, base: int, depth: int) -> DataFrame:
+    """The walked tries, and for each text how many others it meets in all trees: the original of a group of copies leads."""
+    tries = signed.select("node", F.explode(F.arrays_zip("short", "tail")).alias("at")).select("at.short", "at.tail", "node")
+    met = materialise(walk(tries, base, depth), "tries")
     sizes = met.groupBy("short").agg(F.count("*").alias("size"))
     central = met.join(sizes, "short").groupBy("node").agg(F.sum("size").alias("meets"))
-    met = materialise(met.join(central, "node"), "forest")
-    best = F.max(F.struct("meets", "node"))["node"]
-    hubs, deep_hubs = met.groupBy("short").agg(best.alias("hub")), met.groupBy("deep").agg(best.alias("deep_hub"))
-    return materialise(met.join(hubs, "short").join(deep_hubs, "deep").select("short", "node", "meets", "hub", "deep_hub"), "forest")
+    return materialise(met.join(central, "node"), "forest")
+
+
+def with_hub(forest: DataFrame, level: int, base: int, depth: int) -> DataFrame:
+    """Rows that share a prefix of this length, with the hub of its node."""
+    rows = forest.filter(F.col("matched") >= level).withColumn(
+        "prefix", F.shiftright("tail", tail_bits(base, depth) * (depth - level)) if level > base else F.lit(0).cast("long"))
+    hubs = rows.groupBy("short", "prefix").agg(F.max(F.struct("meets", "node"))["node"].alias("hub"))
+    return rows.join(hubs, ["short", "prefix"])
 
 
 def classed(df: DataFrame, classes: DataFrame | None, column: str, name: str) -> DataFrame:
@@ -328,20 +379,21 @@ def degrees(classes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 def near_members(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH,
                  recall: float = RECALL) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """One row per document - doc_id, node, cls -, node and cls of the linked texts, if there are any, and the texts."""
-    signed = materialise(signatures(docs, trees, depth, depths(trees, depth, threshold, recall)), "signatures")
-    forest = candidates(signed)
-    picked = (signed.select("node", "id_key").join(forest.select("node").distinct(), "node")
-              .groupBy("node").agg(F.min("id_key").alias("id_key")))
+    cut = depths(trees, depth, threshold, recall)
+    base = cut[-1]
+    signed = materialise(signatures(docs, trees, depth, base), "signatures")
+    own = materialise(signed.groupBy("node").agg(F.min("id_key").alias("id_key"), F.first("short").alias("short"),
+                                                 F.first("tail").alias("tail")), "texts-signed")
+    forest = forest_rows(own, base, depth)
+    picked = own.select("node", "id_key").join(forest.select("node").distinct(), "node")
     texts = materialise(with_node(docs).select("id_key", "node", "text").join(picked, ["id_key", "node"])
                         .dropDuplicates(["id_key", "node"]).select("node", "text"), "forest-texts")
     classes, links = None, None
-    for step in ("deep", "short", "second", "rest"):
-        if step == "deep":
-            pairs = forest.select(F.col("deep_hub").alias("a"), F.col("node").alias("b"))
-        elif step == "short":
-            pairs = forest.select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    for step in (*cut, "second", "rest"):
+        if step in cut:
+            pairs = with_hub(forest, step, base, depth).select(F.col("hub").alias("a"), F.col("node").alias("b"))
         else:
-            known = classed(forest, classes, "node", "cls")
+            known = classed(with_hub(forest, base, base, depth), classes, "node", "cls")
             mixed = known.groupBy("short").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).filter("x <> y").select("short")
             open_ = known.join(mixed, "short").filter("node <> hub")
             if step == "second":  # the most central text outside the hub's class, against all of other classes
@@ -351,7 +403,7 @@ def near_members(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TRE
             else:
                 pairs = across_classes(materialise(open_.select("short", "node", "cls"), "open"), texts, threshold)
         pairs = pairs.filter("a <> b").distinct()
-        if step == "short":
+        if step in cut[1:]:
             pairs = classed(classed(pairs, classes, "a", "ca"), classes, "b", "cb").filter("ca <> cb").select("a", "b")
         found = materialise(verify(pairs, texts, threshold), "links")
         if not found.isEmpty():

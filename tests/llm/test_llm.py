@@ -226,6 +226,30 @@ def test_forest_counts_every_link(spark, monkeypatch, members):
     assert max(want.values()) > min(n for n in want.values() if n) > 0
 
 
+@pytest.mark.parametrize("base,depth", [(2, 5), (3, 3)])
+def test_walk_finds_the_longest_shared_prefix(spark, base, depth):
+    rng = random.Random(4)
+    bits = lsh_forest.tail_bits(base, depth)
+    paths = [[rng.randrange(3) for _ in range(depth)] for _ in range(150)]
+    table = []
+    for n, path in enumerate(paths):
+        tail = 0
+        for x in path[base:]:
+            tail = tail << bits | x
+        table.append((path[0] * 10 + sum(3 ** k * x for k, x in enumerate(path[1:base])) * 100, tail, n))
+    tries = spark.createDataFrame(table, "short long, tail long, node long").repartition(3)
+
+    def common(i, j):
+        n = next((k for k in range(depth) if paths[i][k] != paths[j][k]), depth)
+        return n if n >= base else 0
+    want = {i: max(common(i, j) for j in range(len(paths)) if j != i) for i in range(len(paths))}
+    got = {r["node"]: r["matched"] for r in lsh_forest.walk(tries, base, depth).collect()}
+    ends = [i for i in got if got[i] != want[i]]  # rows at the ends of ranges
+    assert {i for i, n in want.items() if n} <= set(got)
+    assert all(got[i] == depth for i in ends) and len(ends) <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert set(got) - set(ends) == {i for i, n in want.items() if n} - set(ends)
+
+
 def test_forest_keeps_one_row_of_each_class(spark):
     rng = random.Random(12)
     first, second, third, fourth, fifth = (prose(rng, 60) for _ in range(5))
