@@ -103,7 +103,7 @@ def signatures(docs: DataFrame, trees: int, depth: int, base: int) -> DataFrame:
                 found = labels(hashes, counts, base, trees, depth)
                 ends = np.concatenate([[0], np.cumsum(counts > 0)]) * trees
                 lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(f.view(np.int64).ravel())) for f in found]
-                own = batch.take(pa.array(part))
+                own = batch.select(["doc_id", "id_key", "node"]).take(pa.array(part))
                 yield pa.RecordBatch.from_arrays(
                     [own.column("doc_id"), own.column("id_key"), own.column("node"), *lists],
                     ["doc_id", "id_key", "node", "short", "tail"])
@@ -261,7 +261,7 @@ def rarest(texts: DataFrame, threshold: float) -> DataFrame:
                 size = np.bincount(owner, minlength=len(part))
                 at = np.arange(len(owner)) - (np.cumsum(size) - size)[owner]
                 keep = at <= (size - np.ceil(threshold * size - 1e-6))[owner]
-                own = batch.take(pa.array(part)).take(pa.array(owner[keep]))
+                own = batch.select(["node", "cls"]).take(pa.array(np.array(part)[owner[keep]]))
                 yield pa.RecordBatch.from_arrays(
                     [own.column("node"), own.column("cls"), pa.array(hashes[keep].view(np.int64)), pa.array(at[keep]),
                      pa.array(size[owner[keep]])], ["node", "cls", "gram", "at", "size"])
