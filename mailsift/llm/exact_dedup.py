@@ -1,10 +1,14 @@
-"""Exact duplicates by a tree merge of digest runs, in DataFrame operations only.
+"""Exact duplicates by a tree merge of sorted digest runs, in DataFrame operations only.
 
-Every input partition is a run of (digest, best id, count) entries. Runs whose numbers agree after division by the
-fan-in meet in the next round, where equal digests are merged and the best id is kept, until one run is left. Each
-round combines before it exchanges, so a group that fills a third of the table reaches a task as one entry per run,
-and the last round sees one entry for each digest and each of its last ``fan_in`` runs. An entry is trusted only
-where SHA-256, byte length and an independent 64-bit hash agree, at every level.
+Every input partition is a run of (digest, best id, count) entries, one for each digest it holds. The runs exchange in
+binomial rounds: in round r, the runs whose numbers differ in digit r only meet, each gives the others the entries whose
+digest has their digit, and each merges the sorted pieces it holds. After the last round a run holds all entries of its
+slice of the digests. So a round moves every entry once, between ``fan_in`` partners and not between all pairs of tasks,
+and a group that fills a third of the table reaches a task as at most ``fan_in`` entries. An entry is trusted only where
+SHA-256, byte length and an independent 64-bit hash agree, at every level.
+
+The answer goes back the same way: first to the runs that hold the digest, then to the rows of each run, so the rows of a
+large group never meet in one task.
 """
 
 from __future__ import annotations
@@ -28,25 +32,35 @@ def normalised(text: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and what identifies its normalised text: SHA-256, byte length and a second hash."""
+    """doc_id, what identifies its normalised text - SHA-256, byte length and a second hash - and its run, the partition."""
     text = narrow(docs, "doc_id", "text").select("doc_id", normalised(F.col("text")).alias("folded"))
     return text.select("doc_id", F.unhex(F.sha2(F.col("folded"), 256)).alias("digest"),
-                       F.octet_length("folded").alias("n_bytes"), F.xxhash64("folded").alias("check"))
+                       F.octet_length("folded").alias("n_bytes"), F.xxhash64("folded").alias("check"),
+                       F.spark_partition_id().alias("run"))
+
+
+def merged(entries: DataFrame) -> DataFrame:
+    """Equal digests of a run as one entry with the best id. Struct maxima are merged from sorted rows, not hashed."""
+    return entries.groupBy("run", *KEY).agg(F.max(F.struct("keep_id"))["keep_id"].alias("keep_id"),
+                                            F.sum("group_size").alias("group_size"))
 
 
-def merge_runs(prints: DataFrame, fan_in: int = 64) -> DataFrame:
-    """One row per digest: its best id (largest, null only if all are) and group size."""
-    entries = prints.select(*KEY, F.spark_partition_id().alias("run"), F.col("doc_id").alias("keep_id"),
-                            F.lit(1).cast("long").alias("group_size"))
-    left = 1 + (entries.agg(F.max("run")).first()[0] or 0)
-    while left > 1:
-        entries = entries.groupBy(*KEY, F.floor(F.col("run") / fan_in).cast("int").alias("run")).agg(
-            F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-        left = -(-left // fan_in)
-    return entries.groupBy(*KEY).agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+def merge_runs(runs: DataFrame, fan_in: int = 4) -> DataFrame:
+    """One row per digest: its best id (largest, null only if all are) and group size. ``fan_in`` is a power of two."""
+    bits, levels = fan_in.bit_length() - 1, 0
+    count = 1 + (runs.agg(F.max("run")).first()[0] or 0)
+    while fan_in ** levels < count:
+        levels += 1
+    entries = runs
+    for level in range(levels):
+        mask = (fan_in - 1) << (bits * level)
+        place = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long").bitwiseAND(mask).cast("int")
+        moved = entries.withColumn("run", F.col("run").bitwiseAND(~mask).bitwiseOR(place))
+        entries = merged(moved.repartition(fan_in ** levels, "run").sortWithinPartitions("run", *KEY))
+    return entries.drop("run")
 
 
-def exact_groups(docs: DataFrame, fan_in: int = 64) -> DataFrame:
+def exact_groups(docs: DataFrame, fan_in: int = 4) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Null texts are empty texts and form one group with them. Rows that repeat a doc_id are counted and reported each;
@@ -54,8 +68,9 @@ def exact_groups(docs: DataFrame, fan_in: int = 64) -> DataFrame:
     group has no other id. An empty table gives no rows.
     """
     prints = materialise(fingerprints(docs), "digests")
-    best = merge_runs(prints, fan_in)
-    return (prints.join(best, KEY)
+    runs = materialise(prints.groupBy("run", *KEY).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "runs")
+    best = runs.select("run", *KEY).join(merge_runs(runs, fan_in), KEY)
+    return (prints.join(best, ["run", *KEY])
             .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
                     F.lower(F.hex("digest")).alias("text_sha256")))
 

@@ -72,6 +72,27 @@ def test_exact(docs, none):
     assert exact_dedup.exact_groups(none).count() == 0
 
 
+@pytest.mark.parametrize("fan_in", [2, 4, 16])
+def test_runs_merge_in_rounds(spark, fan_in):
+    rows = [(i, "Hot" if i % 3 == 0 else f"text {i % 50}") for i in range(600)] + [(None, "hot"), (None, "alone"), (5, "TEXT 5")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(11)
+    groups = collections.defaultdict(list)
+    for i, text in rows:
+        groups[text.lower()].append(i)
+    want = {hashlib.sha256(t.encode()).hexdigest(): (max((i for i in ids if i is not None), default=None), len(ids))
+            for t, ids in groups.items()}
+    runs = exact_dedup.fingerprints(docs).groupBy("run", *exact_dedup.KEY).agg(
+        F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    assert runs.select("run").distinct().count() == 11
+    got = exact_dedup.merge_runs(runs, fan_in).collect()
+    assert len(got) == len(want)
+    assert {r["digest"].hex(): (r["keep_id"], r["group_size"]) for r in got} == want
+    out = exact_dedup.exact_groups(docs, fan_in).collect()
+    assert counted((r["doc_id"], r["text_sha256"]) for r in out) == counted(
+        (i, hashlib.sha256(t.lower().encode()).hexdigest()) for i, t in rows)
+    assert all((r["keep_id"], r["group_size"]) == want[r["text_sha256"]] for r in out)
+
+
 def test_quality(docs, none, labels):
     ws, got = r"[^\x20\x09-\x0D]+", quality_llr.quality_rules(docs, labels).collect()
     want = []
