@@ -11,6 +11,7 @@ of the texts meet their counts in a join.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -30,6 +31,7 @@ FREQUENT = 200_000  # words whose counts every task holds
 SYMBOLS = 16_384  # of these, words that are symbols of their own
 CLASSES = 64  # symbols of all other words
 WORD_BYTES = 64  # longer words are never among the frequent ones
+SALTS = 32  # parts that the rows of a longer word are dealt to
 BLOCK = 300_000  # tokens of the documents that run together
 FLUSH = 400_000  # distinct words a task holds before it sends their counts
 END = SYMBOLS + CLASSES
@@ -207,13 +209,26 @@ def baum_welch(texts: DataFrame, shared, model: Model, rounds: int) -> Model:
     return model
 
 
+def rare_counts(rare: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows of words outside the frequent ones with the training count ``c`` of their word, if it has one.
+
+    A word above ``WORD_BYTES`` may be in any share of the texts, such as a long link in a footer. The rows of such words
+    are dealt over ``SALTS`` parts, and their counts go to every part; all other words are rarer than the frequent ones.
+    """
+    long = F.length("word") > WORD_BYTES
+    dealt = rare.withColumn("part", F.when(long, F.pmod(F.xxhash64("doc_id", "key"), F.lit(SALTS)).cast("int")).otherwise(0))
+    parts = F.when(long, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    counts = table.select("word", F.col("n").alias("c"), F.explode(parts).alias("part"))
+    return dealt.join(counts, ["word", "part"])
+
+
 def score_texts(docs: DataFrame, training: Column, states: int = STATES, rounds: int = ROUNDS,
                 frequent: int = FREQUENT, symbols: int = SYMBOLS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every document.
 
     Null and empty texts are one token, the end. Rows for which ``training`` is not true only get scores. Rows that
-    repeat an id are scored each by itself: rows with equal id and text get equal scores. Without training rows N and V
-    are 0, counts are 0 and the seed model scores. An empty table gives no rows.
+    repeat an id, or have none, are told apart by a 128-bit hash of the text: rows with equal id and text get
+    equal scores. Without training rows N and V are 0, counts are 0 and the seed model scores. An empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(docs["doc_id"], F.coalesce(training, F.lit(False)).alias("teaches"),
@@ -240,7 +255,7 @@ def score_texts(docs: DataFrame, training: Column, states: int = STATES, rounds:
                     logs = np.log10(known + 1.0)
                     in_class = np.flatnonzero((code >= SYMBOLS) & (code < END))
                     score += (logs[in_class] - log_class[code[in_class] - SYMBOLS]).sum()
-                    key = zlib.crc32(texts[place])
+                    key = hashlib.blake2b(texts[place], digest_size=16).digest()
                     out.append((names[place], teaches[place], key, None, len(code), int((known > 0).sum()), logs.sum(), score))
                     rest = Counter(w for w, n in zip(words, counts) if not n)
                     rare += [(names[place], None, key, w, n, 0, 0.0, 0.0) for w, n in rest.items()]
@@ -250,15 +265,15 @@ def score_texts(docs: DataFrame, training: Column, states: int = STATES, rounds:
             yield record(out + rare)
 
     def record(found: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         columns = list(zip(*found)) if found else [()] * len(kinds)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], fields)
 
     fields = ["doc_id", "teaches", "key", "word", "n", "n_known", "logs", "score"]
     parts = materialise(rows.mapInArrow(
-        run, "doc_id long, teaches boolean, key long, word binary, n long, n_known long, logs double, score double"), "scores")
+        run, "doc_id long, teaches boolean, key binary, word binary, n long, n_known long, logs double, score double"), "scores")
     rare = parts.filter("word IS NOT NULL").select("doc_id", "key", "word", "n")
-    found = (rare.join(table.withColumnRenamed("n", "c"), "word")
+    found = (rare_counts(rare, table)
              .select("doc_id", "key", "n", (F.col("n") * F.log10(F.col("c") + 1.0)).alias("logs"))
              .groupBy("doc_id", "key").agg(F.sum("n").alias("more_known"), F.sum("logs").alias("more_logs")))
     whole = parts.filter("word IS NULL")

@@ -406,6 +406,18 @@ def test_hidden_markov(docs, none):
     assert hmm_lm.score_texts(docs, F.lit(False)).count() == docs.count()
 
 
+def test_texts_without_ids_are_told_apart(spark):
+    link = "https://example.com/" + "a" * 80  # a word too long to be a frequent one, in most texts
+    texts = [f"{link} plain words {i % 7}" for i in range(200)] + ["new words only", link, link, ""]
+    docs = spark.createDataFrame([(None if i % 2 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = hmm_lm.score_texts(docs, F.lit(True), frequent=3, symbols=2).collect()
+    table = counted(w for t in texts for w in [*t.split(), None])
+    n, v = sum(table.values()), len(table)
+    assert counted((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == counted(
+        (None if i % 2 else i, len(t.split()) + 1, len(t.split()) + 1, round(sum(
+            math.log10((table[w] + 1) / (n + v + 1)) for w in [*t.split(), None]), 6)) for i, t in enumerate(texts))
+
+
 def test_forward_sums_over_all_paths():
     rng = np.random.default_rng(1)
     move = rng.dirichlet(np.ones(3), 3)
