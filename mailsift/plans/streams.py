@@ -17,7 +17,7 @@ from mailsift.streaming import jobs as J
 
 
 def _stream(spark, sf_dir, name):
-    return J.read_files(spark, sf_dir, table(spark, sf_dir, name).schema, f"{name}.parquet")
+    return J.read_table(spark, f"{sf_dir}/{name}.parquet", table(spark, sf_dir, name).schema)
 
 
 def _events(spark, sf_dir):

@@ -26,6 +26,15 @@ def read_files(spark: SparkSession, folder: str, schema, files: str = "*.parquet
     return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(folder)
 
 
+def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A Parquet table as a stream, whether it is one file or a folder of files.
+
+    A stream's path must be a folder, unless it is a pattern; the braces make a pattern that only ``path`` matches.
+    """
+    folder, _, name = path.rpartition("/")
+    return spark.readStream.schema(schema).parquet(f"{folder}/{{{name}}}")
+
+
 def read_kafka(spark: SparkSession, servers: str, topic: str = "email_ingest", schema: str | None = None) -> DataFrame:
     """Emails as JSON values of a topic; the connector package comes with the cluster."""
     raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).load()

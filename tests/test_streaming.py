@@ -124,3 +124,20 @@ def test_sketches_keep_their_rank_error(spark):
             else:
                 assert r["p95"] is None
         assert len(got) >= 2
+
+
+def test_tables_of_one_file_or_of_many_are_streamed_whole(spark, tmp_path):
+    from mailsift.plans import streams
+    folder = str(tmp_path / "folder" / "documents.parquet")
+    docs = spark.createDataFrame([(i, f"See http://earn-money.xyz today {i}") for i in range(40)], "doc_id LONG, text STRING")
+    docs.repartition(3).write.parquet(folder)
+    part = str(tmp_path / "parts")
+    docs.coalesce(1).write.parquet(part)
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "parts").glob("*.parquet")).rename(tmp_path / "file" / "documents.parquet")
+    want = None
+    for kind in ("folder", "file"):
+        scored = sorted(map(tuple, streams.stream_score(spark, str(tmp_path / kind)).collect()))
+        assert [r[0] for r in scored] == list(range(40))
+        want = want or scored
+        assert scored == want
