@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
+
+from mailsift.session import materialise
 
 ALPHA = 0.1
+_HALF = 4e-5  # less than what rounds to a share of four digits that is not zero
 
 
 def fit(long: DataFrame, vocab: DataFrame, alpha: float = ALPHA) -> DataFrame:
@@ -42,13 +50,41 @@ def coefficients(model: DataFrame) -> DataFrame:
     return model.select("term_id", "term", (F.col("lp_spam") - F.col("lp_ham")).alias("coefficient"))
 
 
+def _strongest(vecs: DataFrame, coefs: DataFrame, k: int, key: str) -> DataFrame:
+    """``key, entries`` that may be among the ``k`` largest shares of their row; rounding moves a share by half of the fourth digit."""
+    told = vecs.sparkSession.sparkContext.broadcast(coefs.select("term_id", "coefficient").toArrow().combine_chunks())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, values = (told.value.column(c).to_numpy() for c in ("term_id", "coefficient"))
+        coefficient = np.zeros(ids.max(initial=0) + 1)
+        coefficient[ids] = values
+        for batch in batches:
+            lists = batch.column("entries")
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            entries = lists.flatten()
+            term, weight = (entries.field(c).to_numpy(zero_copy_only=False) for c in ("term_id", "weight"))
+            share = np.abs(weight * np.where(term < len(coefficient), coefficient[np.minimum(term, len(coefficient) - 1)], 0.0))
+            some = np.flatnonzero(share >= _HALF)
+            some = some[np.lexsort((-share[some], row[some]))]
+            of, share = row[some], share[some]
+            start = np.searchsorted(of, np.arange(len(lists) + 1))
+            least = share[np.minimum(start[of] + k, start[of + 1]) - 1]  # the k-th share of the row, or its last
+            kept = some[share >= least - 4 * _HALF]
+            offsets = np.searchsorted(row[kept], np.arange(len(lists) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(pa.array(offsets), entries.take(pa.array(kept)))],
+                                             names=[key, "entries"])
+
+    return vecs.select(key, "entries").mapInArrow(run, StructType([vecs.schema[key], vecs.schema["entries"]]))
+
+
 def contributions(vecs: DataFrame, coefs: DataFrame, k: int = 5, key: str = "doc_id") -> DataFrame:
     """``key, keywords``: the ``k`` terms with the largest absolute share in the score, zeros left out.
 
     Shares are taken against an empty document, so a share is coefficient times weight. The coefficients are
-    as many as the vocabulary has terms; terms of one document never leave its row group.
+    as many as the vocabulary has terms; what cannot be among a document's top is left out within its row.
     """
-    parts = vecs.select(key, F.inline("entries")).join(F.broadcast(coefs), "term_id")
+    coefs = materialise(coefs, "coefficients")
+    parts = _strongest(vecs, coefs, k, key).select(key, F.inline("entries")).join(F.broadcast(coefs), "term_id")
     impact = F.bround(F.col("weight") * F.col("coefficient"), 4)
     ranked = parts.withColumn("impact", impact).filter("impact <> 0").groupBy(key).agg(F.slice(F.array_sort(
         F.collect_list(F.struct((-F.abs("impact")).alias("order"), F.col("term").alias("word"), "impact"))), 1, k).alias("top"))

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from mailsift.functions import patterns as P, text as T
 from mailsift.operators import blocklist as B, decision as D, features as FE, naive_bayes as NB, risk as R
+from mailsift.functions.rows import inline_rows
 from mailsift.plans import sqlparts as S
 from mailsift.plans.catalog import query
+from mailsift.session import materialise
 from mailsift.sources import derived
 from mailsift.sources.emails import emails, table
 
@@ -58,7 +60,7 @@ weights AS (SELECT doc_id, term_id, w / norm AS weight FROM raw JOIN norms USING
 @query("vocab", f"WITH {_docs()}, {_word_terms()}, {_vocab_sql(2, 100_000)} SELECT term, CAST(term_id AS INT) AS term_id, df, cf, round(idf, 6) AS idf FROM vocab")
 def vocab(spark, sf_dir):
     v = FE.get_vectorizer("tfidf")
-    return FE.fit(FE.with_terms(corpus(spark, sf_dir), v), v).withColumn("idf", F.round("idf", 6))
+    return FE.fit(FE.with_tokens(corpus(spark, sf_dir), v), v).withColumn("idf", F.round("idf", 6))
 
 
 @query("bow", f"""WITH {_docs()}, {_word_terms()}, {_vocab_sql(2, 100_000)}
@@ -96,9 +98,9 @@ SELECT doc_id, CAST(term_id AS INT) AS term_id, round(weight, 5) AS weight FROM
 def tfidf_transform(spark, sf_dir):
     """Other texts with the fitted vocabulary."""
     v = FE.get_vectorizer("tfidf")
-    vocabulary = FE.fit(FE.with_terms(corpus(spark, sf_dir), v), v)
+    vocabulary = materialise(FE.fit(FE.with_tokens(corpus(spark, sf_dir), v), v), "vocabulary")
     new = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), T.preprocess(F.col("text")).alias("text"))
-    vecs = FE.vectors(FE.with_terms(new, v), vocabulary, v)
+    vecs = FE.vectors(FE.with_tokens(new, v), vocabulary, v)
     return FE.long_form(vecs).withColumn("weight", F.round("weight", 5))
 
 
@@ -115,8 +117,9 @@ def _fitted(spark, sf_dir):
     """(vectors, naive Bayes model, labels) of the labelled emails."""
     docs = labelled_corpus(spark, sf_dir)
     vocabulary, vecs = FE.fit_transform(docs, "tfidf")
-    labels = docs.select("doc_id", "label")
-    long = FE.long_form(vecs).join(labels, "doc_id")
+    vecs = materialise(vecs, "vectors")  # read for the fit and for the scores
+    labels = materialise(docs.select("doc_id", "label"), "labels")
+    long = inline_rows(vecs.join(labels, "doc_id"), "entries", "term_id", "label")
     return vecs, NB.fit(long, vocabulary), labels
 
 

@@ -20,7 +20,7 @@ def score_emails(emails: DataFrame, blocklist: DataFrame, prepared, model, model
     weights leave the scan as narrow rows that meet on the email id.
     """
     docs = emails.select(F.col("email_id").alias("doc_id"), T.preprocess(F.col("body")).alias("text"))
-    vecs = FE.vectors(FE.with_terms(docs, prepared.vectorizer), prepared.vocabulary, prepared.vectorizer)
+    vecs = FE.vectors(FE.with_tokens(docs, prepared.vectorizer), prepared.vocabulary, prepared.vectorizer)
     coefficients = TR.coefficients(model, prepared.vocabulary)
     if coefficients is not None:
         vecs = materialise(vecs, "scored-terms")  # read for the score and for the words behind it

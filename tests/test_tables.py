@@ -96,6 +96,46 @@ def test_terms_are_counted_within_the_row(spark):
     assert {r["doc_id"]: len(r["entries"]) for r in vecs.collect()} == {1: 4, 2: 0, 3: 0}
 
 
+@pytest.mark.parametrize("method", ["tfidf", "tfidf_char"])
+def test_weights_of_any_documents_without_a_row_per_occurrence(spark, monkeypatch, method):
+    """Against plain counting: copies of keys, null keys and texts, chunks of a few terms, and a vocabulary that is joined."""
+    from collections import Counter
+
+    from mailsift.operators import termcounts
+    monkeypatch.setattr(termcounts, "ENTRIES", 5)
+    texts = ["aa bb aa", "bb aa cc", "", None, "ää aa bb x", "cc cc cc cc", "bb aa"]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[2]), (None, texts[3]), (None, texts[4]), (5, texts[5]), (6, texts[6])]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+
+    def terms(text):
+        words = (text or "").replace("ä", "a").split()
+        if method == "tfidf":
+            words = [w for w in words if len(w) > 1]
+            return Counter(words) + Counter(f"{a} {b}" for a, b in zip(words, words[1:]))
+        return Counter(p[i:i + n] for p in (f" {w} " for w in words) for n in (3, 4, 5) for i in range(len(p) - n + 1))
+    bags = [terms(t) for t in texts]
+    df = Counter(t for b in bags for t in b)
+    cf = sum(bags, Counter())
+    kept = sorted(t for t in df if df[t] >= 2)
+    want = {}
+    for (k, _), bag in zip(rows, bags):
+        want.setdefault(k, []).extend(
+            (kept.index(t), (np.log(n) + 1) * (np.log(8 / (df[t] + 1)) + 1)) for t, n in bag.items() if t in kept)
+    for most in (100, 200_000):
+        vocab, vecs = FE.fit_transform(docs, method, min_df=2, max_df=1.0, max_features=most)
+        assert [(r["term"], r["df"], r["cf"]) for r in vocab.orderBy("term_id").collect()] == [(t, df[t], cf[t]) for t in kept]
+        got = {r["doc_id"]: r["entries"] for r in vecs.collect()}
+        assert set(got) == set(want)
+        for k, entries in want.items():
+            norm = np.sqrt(sum(w * w for _, w in entries))
+            assert [e["term_id"] for e in got[k]] == [i for i, _ in sorted(entries)]
+            assert np.allclose([e["weight"] for e in got[k]], [w / norm for _, w in sorted(entries)])
+    unique, v = docs.filter("doc_id > 1"), FE.get_vectorizer(method, min_df=1, max_df=1.0)
+    tokens = FE.with_tokens(unique, v)
+    plan = FE.vectors(tokens, FE.fit(tokens, v), v)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" not in plan  # rows with keys of their own are not shuffled
+
+
 @pytest.mark.parametrize("exclude_self,block", [(True, 4096), (False, 16)])
 def test_neighbours_equal_brute_force(spark, exclude_self, block):
     rng = np.random.default_rng(3)
