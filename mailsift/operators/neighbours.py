@@ -2,8 +2,9 @@
 
 Every vector belongs to the cell of its nearest pivot. Distances to the pivots bound distances between vectors:
 a query visits only cells that can still hold one of its ``k`` nearest, so far pairs are never formed, and the
-result is exact. Cells are cut into blocks of bounded size on both sides, so a cell that holds a third of all
-vectors becomes many tasks instead of one. Within a task the distances of two blocks are one matrix product.
+result is exact. Neighbouring small cells form a group, large ones are cut, so that either side meets in blocks of
+bounded size: a row is copied once per block of the other side, not per cell, and a cell that holds a third of all
+vectors becomes many tasks. Within a task the distances of some rows to a block are one matrix product.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mailsift.session import materialise
 
-BLOCK = 4096  # rows of one block on either side
+BLOCK = 16384  # rows of one block on either side
 MAX_PIVOTS = 1024
+_ROWS = 512  # rows whose distances to a block, or bounds to all pivots, are held at once
+_STRIDE = 64  # distances that are summed up by their least
 _SLACK = 1e-6  # bounds are widened by this much against rounding
 
 
@@ -42,9 +45,12 @@ def assign_cells(vectors: DataFrame, pivots: np.ndarray, key: str) -> DataFrame:
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                d = _squared(_matrix(batch["embedding"]), pivots)
-                cell = d.argmin(1)
-                yield batch.assign(cell=cell.astype("int32"), to_pivot=np.sqrt(d[np.arange(len(batch)), cell]))
+                x = _matrix(batch["embedding"])
+                cell, least = np.empty(len(x), "int32"), np.empty(len(x))
+                for i in range(0, len(x), _ROWS):
+                    d = _squared(x[i:i + _ROWS], pivots)
+                    cell[i:i + _ROWS], least[i:i + _ROWS] = d.argmin(1), d.min(1)
+                yield batch.assign(cell=cell, to_pivot=np.sqrt(least))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema.fields)
     return vectors.mapInPandas(assign, f"{fields}, cell INT, to_pivot DOUBLE")
@@ -60,8 +66,23 @@ def cell_summary(cells: DataFrame, k: int) -> pd.DataFrame:
     return sizes.join(closest, "cell").toPandas()
 
 
-def route(queries: DataFrame, pivots: np.ndarray, summary: pd.DataFrame, k: int, key: str) -> DataFrame:
-    """Queries with ``target``, every cell that can hold one of their ``k`` nearest vectors."""
+def cell_groups(pivots: np.ndarray, sizes: np.ndarray, block: int) -> np.ndarray:
+    """Group of every cell: neighbouring cells in a chain of nearest pivots, as many as one block holds."""
+    group, at, filled, left = np.zeros(len(sizes), int), 0, 0, np.ones(len(sizes), bool)
+    cell = 0
+    for i in range(len(sizes)):
+        if i:
+            rest = np.flatnonzero(left)
+            cell = int(rest[_squared(pivots[cell][None], pivots[rest])[0].argmin()])
+            if filled + sizes[cell] > block:
+                at, filled = at + 1, 0
+        left[cell] = False
+        group[cell], filled = at, filled + sizes[cell]
+    return group
+
+
+def route(queries: DataFrame, pivots: np.ndarray, summary: pd.DataFrame, k: int, key: str, group: np.ndarray) -> DataFrame:
+    """Queries with ``targets``, every group with a cell that can hold one of their ``k`` nearest vectors."""
     cells = summary["cell"].to_numpy()
     radius, inner = summary["radius"].to_numpy(), summary["inner"].to_numpy()
     width = max(len(c) for c in summary["closest"])
@@ -69,21 +90,24 @@ def route(queries: DataFrame, pivots: np.ndarray, summary: pd.DataFrame, k: int,
     for i, c in enumerate(summary["closest"]):
         closest[i, :len(c)] = c
 
+    def targets(x: np.ndarray) -> list[np.ndarray]:
+        d = np.sqrt(_squared(x, pivots[cells]))
+        # k-th smallest upper bound: query to pivot plus pivot to one of its closest vectors
+        upper = (d[:, :, None] + closest[None, :, :]).reshape(len(x), -1)
+        kth = min(k, upper.shape[1]) - 1
+        bound = np.partition(upper, kth, axis=1)[:, kth][:, None] * (1 + _SLACK)
+        bound = np.sqrt(bound * bound + 2 * _SLACK) + _SLACK  # what rounds to the same distance counts
+        lower = np.maximum(np.maximum(d - radius[None, :], inner[None, :] - d), 0.0)
+        return [np.unique(group[row]).astype("int32") for row in lower <= bound]
+
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch):
-                continue
-            d = np.sqrt(_squared(_matrix(batch["embedding"]), pivots[cells]))
-            # k-th smallest upper bound: query to pivot plus pivot to one of its closest vectors
-            upper = np.sort((d[:, :, None] + closest[None, :, :]).reshape(len(batch), -1), axis=1)
-            bound = upper[:, min(k, upper.shape[1]) - 1][:, None] * (1 + _SLACK) + _SLACK
-            lower = np.maximum(np.maximum(d - radius[None, :], inner[None, :] - d), 0.0)
-            targets = [cells[row] for row in lower <= bound]
-            yield batch.assign(targets=[t.astype("int32") for t in targets])
+            if len(batch):
+                x = _matrix(batch["embedding"])
+                yield batch.assign(targets=[t for i in range(0, len(x), _ROWS) for t in targets(x[i:i + _ROWS])])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema.fields)
-    routed = queries.mapInPandas(visit, f"{fields}, targets ARRAY<INT>")
-    return routed.select(*queries.columns, F.explode_outer("targets").alias("target"))
+    return queries.mapInPandas(visit, f"{fields}, targets ARRAY<INT>")
 
 
 def _salt(key: str, blocks) -> Column:
@@ -118,6 +142,39 @@ def nearest(queries: DataFrame, collection: DataFrame, k: int = 3, key: str = "v
     return matches.select("query_id", "neighbour_id", "distance", rank.alias("rank")).filter(F.col("rank") <= k)
 
 
+def _nearest_in_block(a: np.ndarray, qid: np.ndarray, b: np.ndarray, cid: np.ndarray, k: int) -> pd.DataFrame:
+    """``_first, neighbour_id, distance``: the ``k`` nearest of every row of ``a`` in a block.
+
+    The least of every few distances is taken first: the ``k``-th smallest of these is no less than the ``k``-th distance,
+    so only strides with a smaller one are looked into. Exact differences then decide the order.
+    """
+    n, stride = len(b), _STRIDE if len(b) >= _STRIDE * k else 1
+    norms = (b * b).sum(1)
+    wide = np.zeros((-(-n // stride) * stride, b.shape[1] + 1))  # inner products with it are squared distances less the row's own norm
+    good = np.flatnonzero(np.isfinite(norms))  # what isn't a number is nobody's neighbour
+    wide[:, -1] = np.inf
+    wide[good, :-1], wide[good, -1] = -2.0 * b[good], norms[good]
+    slack = 2 * _SLACK + 1e-12 * norms[good].max(initial=0.0)
+    parts = []
+    for start in range(0, len(a), _ROWS):
+        x = a[start:start + _ROWS]
+        d = np.concatenate([x, np.ones((len(x), 1))], axis=1) @ wide.T
+        least = d.reshape(len(x), -1, stride).min(axis=2) if stride > 1 else d
+        kth = min(k, n, least.shape[1]) - 1
+        bound = np.partition(least, kth, axis=1)[:, kth] + slack + 1e-12 * (x * x).sum(1)
+        rows, at = np.nonzero(least <= bound[:, None])
+        rows, cols = np.repeat(rows, stride), (at[:, None] * stride + np.arange(stride)).ravel()
+        near = d[rows, cols]
+        close = np.flatnonzero((near <= bound[rows]) & np.isfinite(near))
+        rows, cols = rows[close], cols[close]
+        exact = ((x[rows] - b[cols]) ** 2).sum(1).round(6)
+        order = np.lexsort((cid[cols], exact, rows))
+        rows, cols, exact = rows[order], cols[order], exact[order]
+        first = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        parts.append(pd.DataFrame({"_first": qid[start + rows[first]], "neighbour_id": cid[cols[first]], "distance": exact[first]}))
+    return pd.concat(parts)
+
+
 def _search(queries: DataFrame, collection: DataFrame, k: int, key: str, n_pivots: int | None,
             block: int) -> DataFrame:
     """``_first, neighbour_id, distance``: the ``k`` nearest of every query, the query itself included."""
@@ -127,42 +184,32 @@ def _search(queries: DataFrame, collection: DataFrame, k: int, key: str, n_pivot
         return queries.sparkSession.createDataFrame([], "_first LONG, neighbour_id LONG, distance DOUBLE")
     cells = materialise(assign_cells(collection, pivots, key), "cells")
     summary = cell_summary(cells, k)
-    routed = materialise(route(queries, pivots, summary, k, key), "routed")
-    visits = {r["target"]: r["n"] for r in routed.groupBy("target").agg(F.count("*").alias("n")).collect()}
-    plan = [(int(c), max(1, -(-int(n) // block)), max(1, -(-visits.get(int(c), 0) // block)))
-            for c, n in zip(summary["cell"], summary["n"])]
-    sizes = F.broadcast(queries.sparkSession.createDataFrame(plan, "cell INT, c_blocks INT, q_blocks INT"))
+    group = cell_groups(pivots[summary["cell"].to_numpy()], summary["n"].to_numpy(), block)
+    routed = materialise(route(queries, pivots, summary, k, key, group), "routed")
+    visits = {r["target"]: r["n"] for r in routed.select(F.explode("targets").alias("target")).groupBy("target").agg(
+        F.count("*").alias("n")).collect()}
+    held = np.bincount(group, summary["n"].to_numpy())
+    plan = [(int(c), int(g), max(1, -(-int(held[g]) // block)), max(1, -(-visits.get(int(g), 0) // block)))
+            for c, g in zip(summary["cell"], group)]
+    sizes = queries.sparkSession.createDataFrame(plan, "cell INT, grp INT, c_blocks INT, q_blocks INT")
 
     # Either side meets every block of the other exactly once; the number of blocks follows from the counts.
-    left = (routed.join(sizes, F.col("target") == F.col("cell"))
+    left = (routed.select(key, "embedding", F.explode("targets").alias("grp"))
+            .join(F.broadcast(sizes.drop("cell").distinct()), "grp")
             .withColumn("q_block", _salt(key, F.col("q_blocks")))
             .withColumn("c_block", F.explode(F.sequence(F.lit(0), F.col("c_blocks") - 1)))
-            .select("cell", "c_block", "q_block", F.col(key).alias("id"), "embedding"))
-    right = (cells.join(sizes, "cell")
+            .select("grp", "c_block", "q_block", F.col(key).alias("id"), "embedding"))
+    right = (cells.join(F.broadcast(sizes), "cell")
              .withColumn("c_block", _salt(key, F.col("c_blocks")))
              .withColumn("q_block", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
-             .select("cell", "c_block", "q_block", F.col(key).alias("id"), "embedding"))
+             .select("grp", "c_block", "q_block", F.col(key).alias("id"), "embedding"))
 
     def search(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
             return pd.DataFrame({"_first": [], "neighbour_id": [], "distance": []})
-        b, cid = _matrix(c["embedding"]), c["id"].to_numpy()
-        parts = []
-        for start in range(0, len(q), 64):  # bounds the candidates held at once
-            rows_q = q.iloc[start:start + 64]
-            a, qid = _matrix(rows_q["embedding"]), rows_q["id"].to_numpy()
-            d = _squared(a, b)
-            # Candidates by the fast formula with a margin, then exact differences for the order.
-            keep = min(k, d.shape[1])
-            kth = np.partition(d, keep - 1, axis=1)[:, keep - 1]
-            rows, cols = np.nonzero(d <= kth[:, None] + _SLACK)
-            exact = ((a[rows] - b[cols]) ** 2).sum(1).round(6)
-            found = pd.DataFrame({"_first": qid[rows], "neighbour_id": cid[cols], "distance": exact})
-            found = found.sort_values(["_first", "distance", "neighbour_id"])
-            parts.append(found.groupby("_first", sort=False).head(k))
-        return pd.concat(parts)
-
-    keys = ["cell", "c_block", "q_block"]
+        return _nearest_in_block(_matrix(q["embedding"]), q["id"].to_numpy(), _matrix(c["embedding"]), c["id"].to_numpy(), k)
+
+    keys = ["grp", "c_block", "q_block"]
     pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
         search, "_first LONG, neighbour_id LONG, distance DOUBLE")
     # The rank limit keeps only k rows per query and input partition before the shuffle.

@@ -151,3 +151,24 @@ def test_neighbours_equal_brute_force(spark, exclude_self, block):
         d = ((exact[i] - exact) ** 2).sum(1).round(6)
         best = sorted((x, j) for j, x in enumerate(d) if not (exclude_self and j == i))[:3]
         assert [(x, j) for _, x, j in sorted(got[i])] == best
+
+
+def test_neighbours_copy_a_row_once_per_block_of_the_other_side(spark):
+    """Without a cell to rule out, a query visits one group of cells for every block, however many cells there are."""
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(900, 6)).round(3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id LONG, embedding ARRAY<DOUBLE>")
+    pivots = N.choose_pivots(df, "vec_id", 30)
+    summary = N.cell_summary(N.assign_cells(df, pivots, "vec_id"), 4)
+    for block in (16384, 300, 10):
+        group = N.cell_groups(pivots[summary["cell"].to_numpy()], summary["n"].to_numpy(), block)
+        held = np.bincount(group, summary["n"].to_numpy())
+        assert all(n <= block or (group == g).sum() == 1 for g, n in enumerate(held))
+        assert len(held) <= 1 + 2 * 900 // block
+        visits = N.route(df, pivots, summary, 4, "vec_id", group).collect()
+        assert max(len(r["targets"]) for r in visits) <= len(held)
+    for k, x in ((1, data), (4, data), (7, np.repeat(data[:30], 9, axis=0))):
+        found = N._nearest_in_block(x, np.arange(len(x)), x, np.arange(len(x)), k)
+        for i, own in found.groupby("_first"):
+            d = ((x[i] - x) ** 2).sum(1).round(6)
+            assert list(zip(own["distance"], own["neighbour_id"])) == sorted(zip(d, range(len(x))))[:k]
