@@ -1,14 +1,20 @@
-"""Stemming by distinct vocabulary: every term is stemmed once, whatever the size of the corpus."""
+"""Stemming by distinct vocabulary: of the corpus for a table of stems, of each batch for texts, which stay where they are."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from mailsift.functions.rows import explode_rows, posexplode_rows
 from mailsift.functions import text as T
+from mailsift.session import materialise
+
+REPEATED_KEYS = 10_000  # keys of several texts that may be broadcast
 
 # --- fixed values: suffix rules of the published Porter algorithm, longest first ----
 STEP2 = [("ational", "ate"), ("fulness", "ful"), ("iveness", "ive"), ("ization", "ize"), ("ousness", "ous"),
@@ -136,12 +142,35 @@ def vocabulary(texts: DataFrame, column: str = "text") -> DataFrame:
     return terms.mapInPandas(_stem_batches, "term STRING, stem STRING")
 
 
+def _stem_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The second column, lists of tokens, as texts of their stems; every distinct token of a batch is stemmed once."""
+    for batch in batches:
+        tokens = batch.column(1)
+        coded = tokens.flatten().dictionary_encode()
+        stems = pa.array([porter(t) for t in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+        ends = pc.cumulative_sum(pc.list_value_length(tokens).fill_null(0).cast(pa.int32()))
+        lists = pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), ends]), stems)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pc.binary_join(lists, " ")], names=batch.schema.names)
+
+
 def stem_texts(texts: DataFrame, key: str, column: str = "text") -> DataFrame:
-    """Texts with every token replaced by its stem, in the original order.
+    """Texts with every token replaced by its stem, in the original order; a row without a key gets an empty text.
 
-    Frequent terms are no hot keys: occurrences are grouped per text and term before the join, and the size of
-    the vocabulary decides how Spark joins it.
+    Nothing but keys is shuffled, unless a key comes twice: tokens of its texts are put together by their places.
     """
+    again = materialise(texts.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > 1).select(F.col(key).alias("_again")),
+                        "repeated-keys")
+    own = texts.select(key, F.when(F.col(key).isNotNull(), T.tokenize(F.col(column))).alias(column))
+    n = again.filter("_again IS NOT NULL").limit(REPEATED_KEYS + 1).count()
+    again = F.broadcast(again) if n <= REPEATED_KEYS else again
+    same = F.col(key) == F.col("_again")
+    out = own.join(again, same, "left_anti") if n else own
+    out = out.mapInArrow(_stem_tokens, StructType([texts.schema[key], StructField(column, StringType())]))
+    return out.unionByName(_merged(texts.join(again, same, "left_semi"), key, column)) if n else out
+
+
+def _merged(texts: DataFrame, key: str, column: str) -> DataFrame:
+    """Stemmed tokens of all texts of a key by their places; frequent terms are no hot keys, as they are grouped per key first."""
     tokens = posexplode_rows(texts, T.tokenize(F.col(column)), "term", key)
     grouped = tokens.groupBy(key, "term").agg(F.collect_list("pos").alias("positions"))
     stems = grouped.join(vocabulary(texts, column), "term")

@@ -66,6 +66,15 @@ def test_stemmed_text_keeps_order(spark):
     assert {r["id"]: r["text"] for r in stemming.stem_texts(df, "id").collect()} == {1: "run dog run", 2: ""}
 
 
+def test_texts_are_stemmed_where_they_are(spark):
+    rows = [(1, "running dogs running"), (2, None), (3, " "), (None, "dogs"), (5, "the skies fell"), (5, "dogs")]
+    df = spark.createDataFrame(rows, "id LONG, text STRING")
+    got = sorted(map(tuple, stemming.stem_texts(df, "id").collect()), key=str)
+    assert got == sorted([(1, "run dog run"), (2, ""), (3, ""), (None, ""), (5, "dog the sky fell"), (5, "dog the sky fell")], key=str)
+    unique = stemming.stem_texts(df.filter("id < 5"), "id")
+    assert "hashpartitioning" not in unique._jdf.queryExecution().executedPlan().toString()
+
+
 def test_column_aliases(spark):
     df = spark.createDataFrame([("spam", "hello")], "`V1` STRING, ` Message ` STRING")
     out = loaders.resolve_columns(df)
