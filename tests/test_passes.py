@@ -197,3 +197,26 @@ def test_rows_without_entries_and_dense_vectors(spark):
     df = spark.createDataFrame(made, ["doc_id", "features", "target"])
     got = TR.train(df, "gradient_boosting", {"max_iter": 3}).score(df).select(F.col("target"), "prediction").distinct().collect()
     assert {(r["target"], r["prediction"]) for r in got} == {(0.0, "ham"), (1.0, "spam")}
+
+
+def test_linear_fits_need_no_bins(spark, rows, monkeypatch):
+    df = rows.select("*")
+    plain = TR.blocks_of(df, block_rows=90, bins=False)
+    assert plain.cuts is None and plain.n_blocks > 1
+    with_bins = TR.blocks_of(rows, block_rows=90)
+    a, b = (passes.run(x, [TR.job("svm", None, D, [])])[0] for x in (plain, with_bins))
+    assert np.allclose(a.coefficients, b.coefficients, atol=1e-6) and np.allclose(a.platt, b.platt, atol=1e-4)
+    asked = []
+    monkeypatch.setattr(passes, "build", lambda *args, bins=True, **kw: asked.append(bins) or plain)
+    for names in (["svm"], ["svm", "gradient_boosting"]):
+        monkeypatch.setattr(passes, "run", lambda blocks, jobs: [a for _ in jobs])
+        TR.train_in_passes(rows.select("*"), names)
+    assert asked == [False, True]
+
+
+def test_bins_are_found_by_halving(spark):
+    cuts = np.round(np.sort(np.random.default_rng(1).exponential(1, 254)), 4)
+    cuts = np.unique(cuts)
+    rows = [(float(v), cuts[:n].tolist()) for n in (0, 1, 2, 3, 127, 128, len(cuts)) for v in (0.0, 0.1, 5.0, 99.0, *cuts[:n:9], *cuts[max(n - 1, 0):n])]
+    found = passes._below("cuts", spark.createDataFrame(rows, "value double, cuts array<double>")).collect()
+    assert [r["bin"] for r in found] == [int(np.searchsorted(c, v)) + 1 for v, c in rows]
