@@ -220,3 +220,30 @@ def test_bins_are_found_by_halving(spark):
     rows = [(float(v), cuts[:n].tolist()) for n in (0, 1, 2, 3, 127, 128, len(cuts)) for v in (0.0, 0.1, 5.0, 99.0, *cuts[:n:9], *cuts[max(n - 1, 0):n])]
     found = passes._below("cuts", spark.createDataFrame(rows, "value double, cuts array<double>")).collect()
     assert [r["bin"] for r in found] == [int(np.searchsorted(c, v)) + 1 for v, c in rows]
+
+
+def test_only_splits_of_trees_reach_the_driver(data, several, monkeypatch):
+    got, receive = [], B.BoostJob.receive
+    monkeypatch.setattr(B, "RANGE", 7)
+    monkeypatch.setattr(B.BoostJob, "receive", lambda self, total: (got.append(total), receive(self, total)))
+    (fitted,) = passes.run(several, [B.BoostJob({**TR.DEFAULTS["gradient_boosting"], "max_iter": 2, "max_leaf_nodes": 4}, [])])
+    found = [split for total in got[1:] for _, split in total.values()]
+    assert len(fitted.trees) == 2 and found and all(split is None or len(split) == 3 for split in found)
+
+
+def test_the_driver_holds_a_bounded_number_of_jobs(one, several, monkeypatch):
+    job = lambda c: L.Trial(L.LinearJob("squared_hinge", c, 50, D, [("f3", 0)]), "f3", 0)
+    costs = [0.1, 1.0, 5.0, 20.0]
+    want = passes.run(one, [job(c) for c in costs])
+    monkeypatch.setattr(passes, "DRIVER_BYTES", 2 * job(1.0).weight(N))
+    open_jobs, most, request = set(), [], L.Trial.request
+
+    def counted(self, width):
+        asked = request(self, width)
+        (open_jobs.add if asked is not None else open_jobs.discard)(self.id)
+        most.append(len(open_jobs))
+        return asked
+    monkeypatch.setattr(L.Trial, "request", counted)
+    jobs = [job(c) for c in costs]
+    assert np.array_equal(passes.run(several, jobs), want)
+    assert max(most) == 2 and all(type(j.job) is passes.Job for j in jobs)
