@@ -4,9 +4,9 @@
    anchors. Anchors that occur once in the corpus end the matter for their windows; they are counted by a combining
    aggregation and joined back to their documents.
 2. Shards: the windows of repeated anchors in a bounded share of the documents form one text. Its suffix array is
-   built by Larsson-Sadakane refinement (only groups that still tie are sorted again, by the ranks h bytes on), common
-   prefixes of neighbours by Kasai's recursion, run in step over many stretches of the text. A run of suffixes with at least
-   100 bytes in common is one string; all but its earliest place in the shard are repeats.
+   built by Larsson-Sadakane refinement (only groups that still tie are sorted again, by the ranks h bytes on) as deep
+   as 100 bytes, common prefixes of neighbours by comparing words as far. A run of suffixes with at least 100 bytes in common is one
+   string; all but its earliest place in the shard are repeats.
 3. Merge: what is first within its shard - one place per string and shard, however hot the string - goes with its
    bytes to the shard's peers by anchor; there the strings' sorted keys are searched by bisection for the earliest place.
    The windows of an anchor with too many bytes for that - a phrase in many texts - are dealt by their own hashes instead.
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,6 @@ BLOCK = 2_000_000  # bytes whose anchors are found at once
 SHARD = 2_000_000  # bytes of the documents of one suffix array
 MERGE = 4_000_000  # bytes of pieces merged at once, and of one anchor
 SPREAD = 250_000  # bytes of pieces whose windows are dealt one by one at once
-LANES = 2048
 NO_ID = -(1 << 63)
 
 
@@ -73,73 +72,75 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     return lo, hi, (grams[place[lo]] >> np.uint64(16)).astype(np.int64), doc
 
 
-def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and ranks by Larsson-Sadakane refinement, from a first sort by eight bytes."""
+def suffix_array(data: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array and ranks by Larsson-Sadakane refinement, from a first sort by as many bytes as fit beside a place in 64 bits.
+
+    With ``most``, suffixes that agree in so many bytes or more may stay tied, their ranks equal.
+    """
     n = len(data)
+    bits = np.uint64(n.bit_length())
+    h = (64 - int(bits)) // 8
     wide = np.concatenate([data, np.zeros(8, np.uint8)])
-    key = np.ndarray(n, ">u8", wide.tobytes(), strides=(1,)).astype(np.uint64)
-    sa = np.argsort(key, kind="stable")
+    key = np.ndarray(n, ">u8", wide.tobytes(), strides=(1,)).astype(np.uint64) >> np.uint64(64 - 8 * h)
+    sa, key = in_order(key, bits)
     rank = np.empty(n, np.int64)
-    start = np.concatenate([[True], key[sa[1:]] != key[sa[:-1]]]) if n else np.zeros(0, bool)
-    where, h = np.arange(n), 8
+    start = np.concatenate([[True], key[1:] != key[:-1]]) if n else np.zeros(0, bool)
+    where = np.arange(n)
     while True:
         first = np.maximum.accumulate(np.where(start, where, 0))
         rank[sa[where]] = first
         tie = ~start
         tie[:-1] |= ~start[1:]
         where = where[tie]
-        if not len(where) or h >= n:
+        if not len(where) or h >= n or most is not None and h >= most:
             return sa, rank
         part = sa[where]
         ahead = part + h
         second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        key = rank[part] * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        sa[where], key = part[order], key[order]
+        key = (rank[part] * (n + 1) + second).astype(np.uint64)
+        order, key = in_order(key, bits)
+        sa[where] = part[order]
         start = np.concatenate([[True], key[1:] != key[:-1]])
         h *= 2
 
 
-def common_prefixes(data: np.ndarray, sa: np.ndarray, rank_of: np.ndarray) -> np.ndarray:
-    """Bytes that each suffix shares with its predecessor in the array (0 for the first), by Kasai's recursion.
+def in_order(key: np.ndarray, bits: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the keys in their order, and the keys in it. Where both fit into 64 bits, one sort of the two moves no places after it."""
+    if len(key) and int(key.max()).bit_length() + int(bits) > 64:
+        order = np.argsort(key, kind="stable")
+        return order, key[order]
+    both = np.sort(key << bits | np.arange(len(key), dtype=np.uint64))
+    return (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), both >> bits
+
+
+def common_prefixes(data: np.ndarray, sa: np.ndarray, rank_of: np.ndarray, most: int | None = None) -> np.ndarray:
+    """Bytes that each suffix shares with its predecessor in the array (0 for the first), counted up to at least ``most``.
 
-    The text is cut into stretches that advance one byte per step together; what a suffix shares is at least what the
-    one before it in the text shares, less one.
+    All neighbours are compared eight bytes per step together, those that still agree go on.
     """
-    n = len(data)
-    before = np.full(n, -1, np.int64)  # predecessor of the suffix at each place
-    before[sa[1:]] = sa[:-1]
-    wide = np.concatenate([data, np.zeros(8, np.uint8)]).tobytes()
-    words = np.ndarray(n + 1, "<u8", wide, strides=(1,))
-    lanes = min(LANES, n)
-    step = -(-n // lanes)
-    at = np.arange(lanes) * step
-    shared, out = np.zeros(lanes, np.int64), np.zeros(n, np.int64)
-    for _ in range(step):
-        alive = at < n
-        place = np.where(alive, at, 0)
-        other = before[place]
-        shared = np.where(alive & (other >= 0), shared, 0)
-        todo = np.flatnonzero(alive & (other >= 0))
-        while len(todo):
-            a, b = place[todo] + shared[todo], other[todo] + shared[todo]
-            room = n - np.maximum(a, b)
-            differ = words[np.minimum(a, n)] ^ words[np.minimum(b, n)]
-            lowest = differ & (~differ + np.uint64(1))
-            same = np.where(differ == 0, 8, np.log2(np.maximum(lowest, 1).astype(float)).astype(np.int64) // 8)
-            grown = np.minimum(same, room)
-            shared[todo] += grown
-            todo = todo[(grown == 8)]
-        out[place[alive]] = shared[alive]
-        shared = np.maximum(shared - 1, 0)
-        at = at + 1
-    return out[sa]
+    n, out = len(data), np.zeros(len(sa), np.int64)
+    words = np.ndarray(n + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+    todo = np.arange(1, len(sa))
+    a, b = sa[1:], sa[:-1]
+    while len(todo):
+        differ = words[np.minimum(a, n)] ^ words[np.minimum(b, n)]
+        same = np.full(len(todo), 8)
+        stop = np.flatnonzero(differ)
+        lowest = differ[stop] & (~differ[stop] + np.uint64(1))
+        same[stop] = np.log2(lowest.astype(float)).astype(np.int64) // 8
+        same = np.minimum(same, n - np.maximum(a, b))
+        out[todo] += same
+        go = same == 8
+        todo, a, b = todo[go], a[go] + 8, b[go] + 8
+        if most is not None and len(todo) and out[todo[0]] >= most:
+            break
+    return out
 
 
 def repeats(data: np.ndarray, valid: np.ndarray) -> np.ndarray:
     """Valid places whose 100 bytes also start at an earlier valid place."""
-    sa, rank = suffix_array(data)
-    shared = common_prefixes(data, sa, rank)
+    sa, rank = suffix_array(data, LENGTH)
+    shared = common_prefixes(data, sa, rank, LENGTH)
     group = np.cumsum(shared < LENGTH)
     keep = valid[sa]
     places, group = sa[keep], group[keep]
@@ -291,6 +292,32 @@ def merge_windows(pieces: DataFrame) -> DataFrame:
         run, "id_key long, tag long, lo long, hi long")
 
 
+def later(strong: np.ndarray, check: Callable[[np.ndarray], np.ndarray], time: np.ndarray) -> np.ndarray:
+    """Windows whose string, told by ``strong`` and ``check``, also has an earlier time. Strings that occur once need no check."""
+    late = np.zeros(len(strong), bool)
+    bits = np.uint64(len(strong).bit_length())
+    by, key = in_order(strong >> bits, bits)  # the sorted run of keys, less their last bits
+    new = np.append(True, key[1:] != key[:-1])
+    several = ~new
+    several[:-1] |= ~new[1:]
+    by, group = by[several], np.cumsum(new[several])
+    if not len(by):
+        return late
+    whole = np.stack([strong[by], check(by)])
+    other = (whole[:, 1:] != whole[:, :-1]).any(axis=0)
+    mixed = np.unique(group[1:][other & (group[1:] == group[:-1])])  # keys that agree, of strings that do not
+    if len(mixed):
+        m = np.flatnonzero(np.isin(group, mixed))
+        order = m[np.lexsort((whole[1, m], whole[0, m], group[m]))]
+        by[m], whole[:, m] = by[order], whole[:, order]
+        other = (whole[:, 1:] != whole[:, :-1]).any(axis=0)
+    start = np.flatnonzero(np.append(True, other))
+    earliest = np.minimum.reduceat(time[by], start)
+    place = np.searchsorted(start, np.arange(len(by)), side="right") - 1  # each window finds its string in the run by bisection
+    late[by] = time[by] != earliest[place]
+    return late
+
+
 def merge_shards(pieces: DataFrame) -> DataFrame:
     """Byte ranges whose windows start earlier in another shard."""
     def merged(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -308,15 +335,7 @@ def merge_shards(pieces: DataFrame) -> DataFrame:
         changed[1:] = (keys[order][1:] != keys[order][:-1]) | (tags[order][1:] != tags[order][:-1])
         turn[order] = np.cumsum(changed)
         time = turn[piece] << 32 | (lo[piece] + inner)  # earlier windows have smaller times
-        strong = Rolling(data).windows(LENGTH)[at]
-        check = Rolling(data ^ np.uint8(0x5A)).windows(LENGTH)[at]
-        known = np.unique(strong)  # the merged run of keys; each window finds its place in it by bisection
-        place = np.searchsorted(known, strong)
-        by = np.lexsort((time, check, place))
-        new = np.ones(len(by), bool)
-        new[1:] = (place[by][1:] != place[by][:-1]) | (check[by][1:] != check[by][:-1])
-        late = np.zeros(len(by), bool)
-        late[by] = time[by] != time[by][np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
+        late = later(Rolling(data).windows(LENGTH)[at], lambda w: Rolling(data ^ np.uint8(0x5A)).of(at[w], at[w] + LENGTH), time)
         owner, start, end = intervals((lo[piece] + inner)[late], piece[late])
         yield pa.RecordBatch.from_arrays([pa.array(keys[owner]), pa.array(tags[owner]), pa.array(start), pa.array(end)], names)
 

@@ -598,3 +598,31 @@ def test_pipeline(spark):
         ids, docs = set(kept), out
     got = corpus_pipeline.run(spark, sf)
     assert {r["doc_id"] for r in got.collect()} == ids
+
+
+def test_repeats_of_a_shard_are_found_without_a_whole_sort():
+    rng = np.random.default_rng(7)
+    part = rng.integers(97, 101, 300).astype(np.uint8)
+    data = np.concatenate([part, rng.integers(97, 123, 500).astype(np.uint8), part, part[:150], np.full(400, 97, np.uint8)])
+    text, valid = data.tobytes(), rng.random(len(data)) < 0.9
+    valid[len(data) - 99:] = False
+    first, want = {}, np.zeros(len(data), bool)
+    for i in np.flatnonzero(valid):
+        want[i] = first.setdefault(text[i:i + 100], i) != i
+    assert want.any() and np.array_equal(suffix_dedup.repeats(data, valid), want)
+    sa, rank = suffix_dedup.suffix_array(data, 100)
+    assert len(set(rank.tolist())) < len(data) and [text[i:i + 100] for i in sa] == sorted(text[i:i + 100] for i in range(len(data)))
+
+
+def test_later_windows_of_a_string():
+    rng = np.random.default_rng(3)
+    # Keys that differ in their last bits only, and keys whose checks differ.
+    strong = rng.choice(np.array([1, 2, 3, 1 << 40, 1 << 41, (1 << 41) + 1], np.uint64), 300)
+    check, time = rng.integers(0, 3, 300).astype(np.uint64), rng.permutation(300)
+    early = {}
+    for s, c, t in zip(strong.tolist(), check.tolist(), time.tolist()):
+        early[s, c] = min(t, early.get((s, c), t))
+    want = [early[s, c] != t for s, c, t in zip(strong.tolist(), check.tolist(), time.tolist())]
+    assert suffix_dedup.later(strong, lambda w: check[w], time).tolist() == want
+    asked = []
+    assert not suffix_dedup.later(np.arange(50, dtype=np.uint64) << np.uint64(20), lambda w: asked.append(w), time[:50]).any() and not asked
