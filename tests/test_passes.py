@@ -123,6 +123,33 @@ def test_forest_over_blocks(data, one, several):
     assert np.allclose(p, models[1].probabilities(x[:, models[1].features]), atol=1e-9)
 
 
+def test_forests_take_one_pass_a_level(rows, one, several, monkeypatch):
+    params = {"n_estimators": 12, "max_depth": 5, "min_samples_leaf": 2}
+    passed, receive = [], B.ForestJob.receive
+    monkeypatch.setattr(B.ForestJob, "receive", lambda self, total: (passed.append(1), receive(self, total)))
+    for blocks in (several, TR.blocks_of(rows, block_rows=30)):
+        passed.clear()
+        passes.run(blocks, [B.ForestJob(params, [], D)])
+        assert len(passed) == 6  # the root and five levels
+    model = TR.train(rows, "random_forest", params).model
+    assert isinstance(model, B.TreeModel) and len(model.roots) == 12
+
+
+def test_leaves_of_a_forest_hold_the_mean_of_their_draws(spark, rows, data, several):
+    import pickle
+    params = {"n_estimators": 3, "max_depth": None, "min_samples_leaf": 3}
+    (fitted,) = passes.run(several, [B.ForestJob(params, [], D)])
+    blocks = [pickle.loads(bytes(r[0])) for r in several.table.collect()]
+    for t, tree in enumerate(fitted.trees):
+        key = B._mix(np.array([42 * 1_000_003 + t], np.uint64))[0]
+        times = np.concatenate([np.searchsorted(B._POISSON, B._mix(b.number.astype(np.uint64) ^ key) / 2.0 ** 64) for b in blocks])
+        leaf, y = (np.concatenate(x) for x in zip(*((tree.leaves_of(b), b.target) for b in blocks)))
+        drawn = np.bincount(leaf, times, len(tree.left))
+        kept = np.flatnonzero(np.array(tree.left) < 0)
+        assert len(kept) > 5 and (drawn[kept] >= 3).all() and drawn.sum() == times.sum()
+        assert np.allclose(np.array(tree.value)[kept], np.bincount(leaf, times * y, len(tree.left))[kept] / drawn[kept])
+
+
 def test_logistic_regression_equals_spark_ml(rows, one, several):
     ml = LogisticRegression(featuresCol="features", labelCol="target", regParam=1 / (5.0 * N), maxIter=1000, tol=1e-9,
                             standardization=False).fit(rows)
