@@ -274,3 +274,35 @@ def test_the_driver_holds_a_bounded_number_of_jobs(one, several, monkeypatch):
     jobs = [job(c) for c in costs]
     assert np.array_equal(passes.run(several, jobs), want)
     assert max(most) == 2 and all(type(j.job) is passes.Job for j in jobs)
+
+
+def test_a_tree_takes_few_passes_however_many_leaves(data, one, several, monkeypatch):
+    """Boosting over blocks measures the guessed rest of a tree at once; leaf by leaf, these trees took more than twice the passes."""
+    params = {**TR.DEFAULTS["gradient_boosting"], "max_iter": 12, "min_samples_leaf": 4}
+    passed, receive = [], B.BoostJob.receive
+    monkeypatch.setattr(B.BoostJob, "receive", lambda self, total: (passed.append(1), receive(self, total)))
+    (fitted,) = passes.run(several, [B.BoostJob(params, [])])
+    assert len(fitted.trees) == 12 and min(len(t.left) for t in fitted.trees) > 20
+    assert len(passed) <= 4 + 2 * 12
+    (want,) = passes.run(one, [B.BoostJob(params, [])])
+    a, b = (B.TreeModel.of(m, k) for m, k in ((fitted, several), (want, one)))
+    assert np.allclose(a.probabilities(data[0][:, a.features]), b.probabilities(data[0][:, b.features]), atol=1e-8)
+
+
+def test_wrong_guesses_change_no_tree(data, one, several, monkeypatch):
+    params = {**TR.DEFAULTS["gradient_boosting"], "max_iter": 6, "min_samples_leaf": 6, "l2_regularization": 0.3}
+    (want,) = passes.run(one, [B.BoostJob(params, [("f3", 1)])])
+    monkeypatch.setattr(B, "GUESS_ROWS", 50)
+    monkeypatch.setattr(B, "GUESS_ENTRIES", 100)
+    monkeypatch.setattr(B, "LEADERS", 1)
+    wrong, corrected = [], B.Grower.corrected
+
+    def counted(self, nodes):
+        before = sum(v >= 0 for v in self.tree.left)
+        corrected(self, nodes)
+        wrong.append(before - sum(v >= 0 for v in self.tree.left))
+    monkeypatch.setattr(B.Grower, "corrected", counted)
+    (fitted,) = passes.run(several, [B.BoostJob(params, [("f3", 1)])])
+    assert sum(wrong) > 5
+    a, b = (B.TreeModel.of(m, k) for m, k in ((fitted, several), (want, one)))
+    assert np.allclose(a.probabilities(data[0][:, a.features]), b.probabilities(data[0][:, b.features]), atol=1e-8)
