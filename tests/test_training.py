@@ -70,6 +70,20 @@ def test_failed_models_are_named(docs, monkeypatch):
     assert set(kept) == {"naive_bayes"} and set(failed) == {"svm", "gradient_boosting"} and "no room" in failed["svm"]
 
 
+def test_a_failed_model_fails_the_run(docs, monkeypatch):
+    def broken(*args, **options):
+        raise MemoryError("no room")
+    monkeypatch.setattr(TR, "train_in_passes", broken)
+    with pytest.raises(MemoryError):
+        P.run(docs, names=["naive_bayes", "svm"])
+    with pytest.raises(MemoryError):
+        P.run(docs, names=["naive_bayes", "gradient_boosting"], ensemble="voting")
+    failed = {}
+    with pytest.warns(UserWarning):
+        kept = P.run(docs, names=["naive_bayes", "svm"], failed=failed)
+    assert set(kept.models) == {"naive_bayes"} and set(kept.failed) == set(failed) == {"svm"}
+
+
 def test_scored_emails_name_the_words(spark, docs):
     from mailsift.operators import blocklist as BL
     from mailsift.plans.scoring import score_emails
