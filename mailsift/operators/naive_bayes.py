@@ -9,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
+from mailsift.operators.termcounts import chunks
 from mailsift.session import materialise
 
 ALPHA = 0.1
+_ENTRIES = 1 << 18  # entries that are ranked at once
 _HALF = 4e-5  # less than what rounds to a share of four digits that is not zero
 
 
@@ -58,21 +60,24 @@ def _strongest(vecs: DataFrame, coefs: DataFrame, k: int, key: str) -> DataFrame
         ids, values = (told.value.column(c).to_numpy() for c in ("term_id", "coefficient"))
         coefficient = np.zeros(ids.max(initial=0) + 1)
         coefficient[ids] = values
-        for batch in batches:
-            lists = batch.column("entries")
-            row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            entries = lists.flatten()
-            term, weight = (entries.field(c).to_numpy(zero_copy_only=False) for c in ("term_id", "weight"))
-            share = np.abs(weight * np.where(term < len(coefficient), coefficient[np.minimum(term, len(coefficient) - 1)], 0.0))
-            some = np.flatnonzero(share >= _HALF)
-            some = some[np.lexsort((-share[some], row[some]))]
-            of, share = row[some], share[some]
-            start = np.searchsorted(of, np.arange(len(lists) + 1))
-            least = share[np.minimum(start[of] + k, start[of + 1]) - 1]  # the k-th share of the row, or its last
-            kept = some[share >= least - 4 * _HALF]
-            offsets = np.searchsorted(row[kept], np.arange(len(lists) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(pa.array(offsets), entries.take(pa.array(kept)))],
-                                             names=[key, "entries"])
+        for whole in batches:
+            sizes = whole.column("entries").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            for first, last in chunks(sizes, _ENTRIES):
+                batch = whole.slice(first, last - first)
+                lists = batch.column("entries")
+                row = np.repeat(np.arange(len(lists)), sizes[first:last])
+                entries = lists.flatten()
+                term, weight = (entries.field(c).to_numpy(zero_copy_only=False) for c in ("term_id", "weight"))
+                share = np.abs(weight * np.where(term < len(coefficient), coefficient[np.minimum(term, len(coefficient) - 1)], 0.0))
+                some = np.flatnonzero(share >= _HALF)
+                some = some[np.lexsort((-share[some], row[some]))]
+                of, share = row[some], share[some]
+                start = np.searchsorted(of, np.arange(len(lists) + 1))
+                least = share[np.minimum(start[of] + k, start[of + 1]) - 1]  # the k-th share of the row, or its last
+                kept = some[share >= least - 4 * _HALF]
+                offsets = np.searchsorted(row[kept], np.arange(len(lists) + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(pa.array(offsets), entries.take(pa.array(kept)))],
+                                                 names=[key, "entries"])
 
     return vecs.select(key, "entries").mapInArrow(run, StructType([vecs.schema[key], vecs.schema["entries"]]))
 

@@ -172,3 +172,38 @@ def test_neighbours_copy_a_row_once_per_block_of_the_other_side(spark):
         for i, own in found.groupby("_first"):
             d = ((x[i] - x) ** 2).sum(1).round(6)
             assert list(zip(own["distance"], own["neighbour_id"])) == sorted(zip(d, range(len(x))))[:k]
+
+
+def test_words_of_a_large_batch_are_counted_in_small_parts():
+    """Counting these 600,000 words held 81 MB of numpy arrays at once when up to 4,000,000 occurrences were sorted together."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from mailsift.operators import termcounts
+    words = pa.array([f"w{i}" for i in range(50_000)])
+    code = np.random.default_rng(1).integers(0, len(words), 600_000)
+    tokens = pa.ListArray.from_arrays(pa.array(np.arange(0, 600_001, 300, dtype=np.int32)), words.take(pa.array(code)))
+    tracemalloc.start()
+    seen = total = 0
+    for c in termcounts.counts(tokens, "word", (1, 2)):
+        assert c.first == seen and c.tf.sum() <= termcounts.ENTRIES
+        seen, total = seen + c.n, total + c.tf.sum()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == 2000 and total == 2000 * (300 + 299) and peak < 60e6
+
+
+def test_top_shares_in_small_parts(spark, monkeypatch):
+    from mailsift.operators import naive_bayes as NB
+    rng = np.random.default_rng(2)
+    rows = [(i, [(int(t), float(w)) for t, w in zip(np.sort(rng.choice(40, i % 9, replace=False)), rng.random(9))]) for i in range(60)]
+    vecs = spark.createDataFrame(rows, "doc_id LONG, entries ARRAY<STRUCT<term_id: INT, weight: DOUBLE>>").coalesce(1)
+    value = {t: float(v) for t, v in enumerate(rng.normal(size=40))}
+    coefs = spark.createDataFrame([(t, f"t{t}", v) for t, v in value.items()], "term_id INT, term STRING, coefficient DOUBLE")
+    for most in (7, 1 << 18):
+        monkeypatch.setattr(NB, "_ENTRIES", most)
+        got = {r["doc_id"]: [k["word"] for k in r["keywords"]] for r in NB.contributions(vecs, coefs, 3).collect()}
+        for i, entries in rows:
+            want = sorted(((t, round(w * value[t], 4)) for t, w in entries), key=lambda x: (-abs(x[1]), f"t{x[0]}"))
+            assert got.get(i, []) == [f"t{t}" for t, x in want if x][:3]
