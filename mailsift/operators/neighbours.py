@@ -21,6 +21,8 @@ BLOCK = 16384  # rows of one block on either side
 MAX_PIVOTS = 1024
 _ROWS = 512  # rows whose distances to a block, or bounds to all pivots, are held at once
 _STRIDE = 64  # distances that are summed up by their least
+_SINGLE = 1e30  # squared lengths below which single precision can tell distances
+_MANY = 8  # times as many rows as are wanted that single precision may leave
 _SLACK = 1e-6  # bounds are widened by this much against rounding
 
 
@@ -146,27 +148,40 @@ def _nearest_in_block(a: np.ndarray, qid: np.ndarray, b: np.ndarray, cid: np.nda
     """``_first, neighbour_id, distance``: the ``k`` nearest of every row of ``a`` in a block.
 
     The least of every few distances is taken first: the ``k``-th smallest of these is no less than the ``k``-th distance,
-    so only strides with a smaller one are looked into. Exact differences then decide the order.
+    so only strides with a smaller one are looked into. These distances are of single precision, with bounds wider by twice what rounding
+    can make of them, unless too many are left within the bounds. Exact differences then decide the order.
     """
     n, stride = len(b), _STRIDE if len(b) >= _STRIDE * k else 1
-    norms = (b * b).sum(1)
-    wide = np.zeros((-(-n // stride) * stride, b.shape[1] + 1))  # inner products with it are squared distances less the row's own norm
+    norms, own = (b * b).sum(1), (a * a).sum(1)
     good = np.flatnonzero(np.isfinite(norms))  # what isn't a number is nobody's neighbour
-    wide[:, -1] = np.inf
-    wide[good, :-1], wide[good, -1] = -2.0 * b[good], norms[good]
-    slack = 2 * _SLACK + 1e-12 * norms[good].max(initial=0.0)
-    parts = []
-    for start in range(0, len(a), _ROWS):
-        x = a[start:start + _ROWS]
-        d = np.concatenate([x, np.ones((len(x), 1))], axis=1) @ wide.T
+    longest = norms[good].max(initial=0.0)
+    single = max(longest, own[np.isfinite(own)].max(initial=0.0)) < _SINGLE
+    tables: dict[type, np.ndarray] = {}
+
+    def within(x: np.ndarray, lengths: np.ndarray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        if kind not in tables:  # inner products with it are squared distances less the row's own norm
+            wide = tables[kind] = np.zeros((-(-n // stride) * stride, b.shape[1] + 1), kind)
+            wide[:, -1] = np.inf
+            wide[good, :-1], wide[good, -1] = -2.0 * b[good], norms[good]
+        d = np.concatenate([x, np.ones((len(x), 1))], axis=1, dtype=kind) @ tables[kind].T
         least = d.reshape(len(x), -1, stride).min(axis=2) if stride > 1 else d
         kth = min(k, n, least.shape[1]) - 1
-        bound = np.partition(least, kth, axis=1)[:, kth] + slack + 1e-12 * (x * x).sum(1)
+        if kind is np.float32:
+            slack = 2 * _SLACK + 2 * (b.shape[1] + 8) * np.finfo(kind).eps * (np.sqrt(longest) + np.sqrt(lengths)) ** 2
+        else:
+            slack = 2 * _SLACK + 1e-12 * (longest + lengths)
+        bound = np.nextafter((np.partition(least, kth, axis=1)[:, kth] + slack).astype(kind), kind(np.inf))
         rows, at = np.nonzero(least <= bound[:, None])
         rows, cols = np.repeat(rows, stride), (at[:, None] * stride + np.arange(stride)).ravel()
         near = d[rows, cols]
         close = np.flatnonzero((near <= bound[rows]) & np.isfinite(near))
-        rows, cols = rows[close], cols[close]
+        return rows[close], cols[close]
+    parts = []
+    for start in range(0, len(a), _ROWS):
+        x, lengths = a[start:start + _ROWS], own[start:start + _ROWS]
+        rows, cols = within(x, lengths, np.float32 if single else np.float64)
+        if single and len(rows) > _MANY * k * len(x):
+            rows, cols = within(x, lengths, np.float64)
         exact = ((x[rows] - b[cols]) ** 2).sum(1).round(6)
         order = np.lexsort((cid[cols], exact, rows))
         rows, cols, exact = rows[order], cols[order], exact[order]
